@@ -1,13 +1,62 @@
-"""The corpus pipeline: stages over ``documents``, each one operator of ``tidemark.llm``."""
+"""The corpus pipeline: stages over ``documents``, each one operator of ``tidemark.llm``.
+
+A stage gets all rows its predecessor kept and returns the columns of documents;
+the last adds how often the mix takes each row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.decontaminate import without_leaks
+from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.mixing import mix_sources, take_mix
+from tidemark.llm.ngram_join import BROADCAST_ROWS, jaccard_components
+from tidemark.llm.quality import classify
 from tidemark.llm.store import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-STAGES: list = []
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    scored = classify(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.filter("accepted").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated chunks of lines; one of which nothing is left goes."""
+    cleaned = dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+    return cleaned.filter("n_removed = 0 or trim(text) <> ''").select(*COLUMNS)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates."""
+    groups = jaccard_components(docs)
+    gone = Scratch(spark, "ngram-stage").table(groups.filter("component_id <> doc_id").select("doc_id"), "gone")
+    n = gone.count()
+    return docs.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with copies and taken words."""
+    return take_mix(docs, mix_sources(docs)).select(*COLUMNS, "copies", "taken")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("ngram_join", ngram_join),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+#: Scores, candidate groups and Newton steps aren't SQL; tests hold stages against brute force.
 ORACLE_SQL = None
 
 

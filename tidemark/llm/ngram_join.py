@@ -7,9 +7,10 @@ work has three steps:
 1. *Hash-order prefixes.*  With ``k = max(1, n // 10)`` the ``n - ceil(t*n) + k``
    smallest hashes of two linking sets share at least the smaller ``k``.  Only
    prefix elements held by two different sets survive one shuffle.
-2. *Rare-first prefixes.*  Of a set's surviving elements, ordered by document
-   frequency, all but the last ``m - 1`` have to meet a partner's (``m``: the
-   least number shared).  Sets that meet form candidate groups.
+2. *Rare-first prefixes.*  Of the sets left, whole, ``ceil(t*n)`` elements have to
+   be held by others too; ordered by document frequency, all but the last
+   ``ceil(t*n) - 1`` of these have to meet a partner's.  Sets that meet form
+   candidate groups.
 3. *Tries.*  The sets of a candidate group are stored in a trie whose paths are
    the sets in one global order, common elements first.  A probe walks it once,
    sharing the overlap of every path's start, and skips subtrees by the bound
@@ -32,7 +33,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.llm import hashing
@@ -82,6 +82,46 @@ def _set_rows(percent: int, width: int):
     return run
 
 
+def _full_rows(width: int):
+    schema = pa.schema([("rep", pa.int64()), ("grams", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in hashing.slices(whole, "text"):
+                word, first = hashing.word_hashes(batch.column("text"))
+                grams = [hashing.shingles(word[first[i] : first[i + 1]], width).view(np.int64) for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(grams, schema.types[1])], schema=schema)
+
+    return run
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """(h, d, df) of the elements ``rows(h, d)`` that more than one set holds."""
+    same = Window.partitionBy("h")
+    counted = rows.withColumns({"low": F.min("d").over(same), "high": F.max("d").over(same), "df": F.count("*").over(same)})
+    return counted.filter("low < high").groupBy("h", "d").agg(F.max("df").alias("df"))
+
+
+def _leaders(state: DataFrame, chunk: int) -> DataFrame:
+    """One set of the largest component of every chunk, all of a group together."""
+    count = state.groupBy("cc", "part", "component").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
+    return count.groupBy("cc", "part").agg(F.max_by("rep", F.struct("c", "rep")).alias("rep")).select("cc", F.lit("leaders").alias("part"), "rep")
+
+
+def _rest(state: DataFrame, chunk: int) -> DataFrame:
+    """Every set outside its group's largest component, in blocks, with every chunk of the group."""
+    count = state.groupBy("cc", "component").agg(F.count("*").alias("c"))
+    main = count.groupBy("cc").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("cc", F.col("top.component").alias("main"))
+    still = state.join(main, "cc")
+    rest = still.filter("component <> main").select("cc", "rep")
+    blocks = still.select("cc", "part").distinct().join(rest.groupBy("cc").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n_blocks")), "cc")
+    blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    tag = F.concat_ws(":", "part", "block").alias("part")
+    every = still.select("cc", "part", "rep").join(blocks, ["cc", "part"]).select("cc", tag, "rep")
+    other = rest.join(blocks, "cc").filter(F.pmod(F.xxhash64("rep"), "n_blocks") == F.col("block")).select("cc", tag, "rep")
+    return every.unionAll(other)
+
+
 @dataclass(slots=True)
 class _Node:
     path: np.ndarray
@@ -161,15 +201,13 @@ def trie_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int
     return links
 
 
-def _group_links(percent: int, width: int):
+def _group_links(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         for _, group in rows.groupby(["cc", "part"], sort=False):
             group = group.drop_duplicates("rep")
-            word, first = hashing.word_hashes(pa.array(group["text"], pa.string()))
-            sets = [hashing.shingles(word[first[i] : first[i + 1]], width) for i in range(len(group))]
             ids = group["rep"].tolist()
-            found += [(ids[i], ids[j]) for i, j in trie_links(sets, percent)]
+            found += [(ids[i], ids[j]) for i, j in trie_links(group["grams"].tolist(), percent)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
@@ -190,71 +228,44 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     classes = scratch.table(sets.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     short = F.col("d1").bitwiseAND(F.lit(_ID_BITS))
 
-    everyone = Window.partitionBy("h")
-    held = (
-        sets.filter("prefix is not null")
-        .select(F.explode("prefix").alias("h"), short.alias("d"))
-        .withColumns({"low": F.min("d").over(everyone), "high": F.max("d").over(everyone), "df": F.count("*").over(everyone)})
-        .filter("low < high")
-        .groupBy("h", "d")
-        .agg(F.max("df").alias("df"))
-    )
-    held = scratch.table(held, "held")
-    scratch_n = classes.groupBy(short.alias("d")).agg(F.min("n").alias("n"))
-    need = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) / 10)).cast("long")
-    per = held.groupBy("d").agg(F.count("*").alias("s")).join(scratch_n, "d").withColumn("m", need).filter("s >= m").select("d", (F.col("s") - F.col("m") + 1).alias("take"))
-    rare = (
-        held.join(per, "d")
-        .withColumn("at", F.row_number().over(Window.partitionBy("d").orderBy("df", "h")))
-        .filter("at <= take")
-        .select("h", "d")
-    )
+    # 1. Prefixes in hash order: sets that share too few elements with others can't link.
+    held = _held(sets.filter("prefix is not null").select(F.explode("prefix").alias("h"), short.alias("d")))
+    least = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) / 10))
+    per_class = classes.withColumn("d", short)
+    alive = held.groupBy("d").agg(F.count("*").alias("s")).join(per_class, "d").filter(F.col("s") >= least).select("rep")
+    alive = scratch.table(alive, "alive")
+    texts = docs.withColumnRenamed("doc_id", "rep")
+    chosen = texts.join(F.broadcast(alive) if alive.count() <= BROADCAST_ROWS else alive, "rep").dropDuplicates(["rep"])
+    full = scratch.table(chosen.mapInArrow(_full_rows(width), "rep long, grams array<long>"), "full")
+
+    # 2. Whole sets of those left, rarest elements first.
+    held = scratch.table(_held(full.select(F.explode("grams").alias("h"), F.col("rep").alias("d"))), "held")
+    need = F.ceil(F.col("n") * percent / 100)
+    take = held.groupBy("d").agg(F.count("*").alias("s")).join(full.select(F.col("rep").alias("d"), F.size("grams").alias("n")), "d")
+    take = take.filter(F.col("s") >= need).select("d", (F.col("s") - need + 1).alias("take"))
+    rare = held.join(take, "d").withColumn("at", F.row_number().over(Window.partitionBy("d").orderBy("df", "h"))).filter("at <= take").select("h", "d")
     rare = scratch.table(rare, "rare")
     centre = rare.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("z")).filter("a < z").select("h", "a")
-    candidates = rare.join(centre, "h").filter("a <> d").select("a", F.col("d").alias("b"))
-    groups = connected_components(candidates, scratch)
-    member = scratch.table(classes.withColumn("node", short).join(groups, "node").select("rep", F.col("component").alias("cc")), "member")
-    sizes = member.groupBy("cc").agg(F.count("*").alias("size"))
-    member = scratch.table(
-        member.join(sizes, "cc").select("cc", "rep", "size", F.when(F.col("size") > chunk, F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / chunk))).otherwise(F.lit(0)).cast("long").alias("part")),
-        "parts",
-    )
-    n_member = member.count()
-    texts = docs.withColumnRenamed("doc_id", "rep")
+    groups = connected_components(rare.join(centre, "h").filter("a <> d").select("a", F.col("d").alias("b")), scratch)
 
-    def with_text(keys: DataFrame, n: int) -> DataFrame:
-        return texts.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, "rep")
+    # 3. Tries over the candidate groups.
+    member = scratch.table(groups.select(F.col("node").alias("rep"), F.col("component").alias("cc")), "member")
+    sizes = member.groupBy("cc").agg(F.count("*").alias("size"))
+    parts = F.when(F.col("size") > chunk, F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / chunk))).otherwise(0)
+    member = scratch.table(member.join(sizes, "cc").select("cc", "rep", "size", parts.cast("string").alias("part")), "parts")
 
     def tried(keys: DataFrame, n: int) -> DataFrame:
         bucket = F.pmod(F.xxhash64("cc", "part"), F.lit(max(1, n // GROUP_SETS)))
-        return with_text(keys, n).groupBy(bucket.alias("bucket")).applyInPandas(_group_links(percent, width), "a long, b long")
+        return full.join(keys, "rep").groupBy(bucket.alias("bucket")).applyInPandas(_group_links(percent), "a long, b long")
 
-    links = scratch.table(tried(member, n_member), "links")
+    links = scratch.table(tried(member, member.count()), "links")
     large = member.filter(F.col("size") > chunk)
-    n_large = large.count()
-    if n_large:
-        for step in ("leaders", "rest"):
+    if not large.isEmpty():
+        for step in (_leaders, _rest):
             label = connected_components(links, scratch).select(F.col("node").alias("rep"), "component")
             state = scratch.table(large.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "state")
-            if step == "leaders":
-                count = state.groupBy("cc", "part", "component").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
-                keys = count.groupBy("cc", "part").agg(F.max_by("rep", F.struct("c", "rep")).alias("rep")).select("cc", F.lit("leaders").alias("part"), "rep")
-            else:
-                count = state.groupBy("cc", "component").agg(F.count("*").alias("c"))
-                main = count.groupBy("cc").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("cc", F.col("top.component").alias("main"))
-                open_ = state.join(main, "cc")
-                rest = open_.filter("component <> main").select("cc", "rep")
-                n_rest = rest.groupBy("cc").agg(F.count("*").alias("r"))
-                blocks = open_.select("cc", "part").distinct().join(n_rest, "cc").withColumn("n_blocks", F.ceil(F.col("r") / chunk).cast("int"))
-                blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-                tag = F.concat_ws(":", "part", "block").alias("part")
-                every = open_.select("cc", "part", "rep").join(blocks, ["cc", "part"]).select("cc", tag, "rep")
-                other = rest.join(blocks, "cc").filter(F.pmod(F.xxhash64("rep"), "n_blocks") == F.col("block")).select("cc", tag, "rep")
-                keys = every.unionAll(other)
-            keys = scratch.table(keys, step)
-            n_keys = keys.count()
-            if n_keys:
-                links = scratch.table(links.unionAll(tried(keys, n_keys)), "links")
+            keys = scratch.table(step(state, chunk), "keys")
+            links = scratch.table(links.unionAll(tried(keys, keys.count())), "links")
     label = connected_components(links, scratch).select(F.col("node").alias("rep"), "component")
     named = classes.join(label, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     return sets.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
