@@ -198,7 +198,7 @@ class Filter:
         live, level = np.arange(len(key)), self.least
         while len(live):
             bucket = _bucket(key[live])
-            h = hashing.mix(key[live] + np.uint64(level) * _LEVEL)
+            h = hashing.mix(key[live] + np.array([level], np.uint64) * _LEVEL)
             step, bits, start = hashing.mix(h) | np.uint64(1), self.bits[bucket], self.start[bucket]
             for i in range(HASHES):
                 place = start + (h + np.uint64(i) * step) % bits

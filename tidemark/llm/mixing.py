@@ -25,6 +25,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 GROUP = 4096
+OFFSETS = 256
 NEWTON_STEPS = 60
 
 
@@ -33,6 +34,10 @@ def size_of(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _whole(x, offset) -> F.Column:
+    return F.floor(x + offset + 1e-9)
+
+
 def targets(sizes: list[tuple[str | None, int]], weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> dict[str | None, float]:
     """Target words by source: ``share`` of all sizes by repeating weights, at most ``cap`` times a source's size.
 
@@ -113,6 +118,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     rated = with_rate(counts).select("source", "size", "n", "rate")
     before = F.sum(F.col("n") * F.col("rate")).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
     rated = scratch.table(rated.withColumn("before", F.coalesce(before, F.lit(0.0))).withColumn("salts", F.ceil(F.col("n") / GROUP)), "rates")
+    # Where the running sum starts is free: of OFFSETS starts the one whose words come nearest to the target.
+    start = rated.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1)))).withColumn("offset", (F.col("k") + 0.5) / OFFSETS)
+    words = F.col("size") * (_whole(F.col("before") + F.col("n") * F.col("rate"), F.col("offset")) - _whole(F.col("before"), F.col("offset")))
+    found = start.groupBy("source", "k", "offset").agg(F.sum(words).alias("words")).collect()  # OFFSETS rows a source
+    best = {s: (float("inf"), 0, 0.5) for s in by_source}
+    for r in found:
+        best[r["source"]] = min(best[r["source"]], (abs(r["words"] - goal[r["source"]]), r["k"], float(r["offset"])))
     same = [F.col("a.source").eqNullSafe(F.col("b.source")), F.col("a.size") == F.col("b.size")]
     salt = F.floor((F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))) * F.col("salts")).cast("long")
     placed = plain.alias("a").join(rated.alias("b"), same[0] & same[1]).select("a.*", "rate", "before", "salts").withColumn("salt", salt)
@@ -122,11 +134,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
     ranked = placed.alias("a").join(ahead.alias("b"), same[0] & same[1] & (F.col("a.salt") == F.col("b.salt"))).select("a.*", "ahead")
     ranked = ranked.withColumn("rank", F.col("ahead") + F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("_h", "doc_id")) - 1)
     until = F.col("before") + F.col("rank") * F.col("rate")
-    copies = F.floor(until + F.col("rate") + 0.5 + 1e-9) - F.floor(until + 0.5 + 1e-9)
-    goals = spark.createDataFrame([(s or "", s is None, int(by_source[s]), float(goal[s])) for s in by_source] or [("", True, 0, 0.0)], "src string, null_src boolean, source_size long, target double")
+    copies = _whole(until + F.col("rate"), F.col("offset")) - _whole(until, F.col("offset"))
+    schema = "src string, null_src boolean, source_size long, target double, offset double"
+    goals = spark.createDataFrame([(s or "", s is None, int(by_source[s]), float(goal[s]), best[s][2]) for s in by_source] or [("", True, 0, 0.0, 0.5)], schema)
     same_source = (F.coalesce("source", F.lit("")) == F.col("src")) & (F.col("source").isNull() == F.col("null_src"))
-    done = ranked.withColumn("copies", F.when(F.col("size") > 0, F.least(copies, F.lit(cap))).otherwise(0).cast("long"))
-    done = done.join(goals, same_source).select("doc_id", "source", "_h", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    done = ranked.join(goals, same_source).withColumn("copies", F.when(F.col("size") > 0, F.least(copies, F.lit(cap))).otherwise(0).cast("long"))
+    done = done.select("doc_id", "source", "_h", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     return scratch.table(done, "mix")
 
 

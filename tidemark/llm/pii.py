@@ -85,15 +85,15 @@ _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 def base_spans(text) -> F.Column:
     """All base entities of a text, ordered by start and then kind."""
-    parts = []
-    for rank, kind in enumerate(KINDS):
-        found = F.filter(_matches(text, PATTERNS[kind]), lambda m, kind=kind: _valid(kind, m["value"]))
-        spans = F.transform(
-            found,
-            lambda m, rank=rank, kind=kind: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value")),
-        )
-        parts.append(F.when(text.rlike(_NEEDS[kind]), spans).otherwise(F.array().cast(_SPAN)))
-    return F.array_sort(F.concat(*parts))
+    return F.array_sort(F.concat(*[_spans_of(text, rank, kind) for rank, kind in enumerate(KINDS)]))
+
+
+def _spans_of(text, rank: int, kind: str) -> F.Column:
+    def span(m):
+        return F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value"))
+
+    found = F.transform(F.filter(_matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"])), span)
+    return F.when(text.rlike(_NEEDS[kind]), found).otherwise(F.array().cast(_SPAN))
 
 
 def _instances(rows: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ Overlapping heuristics vote good, bad or abstain on every text.  Expectation
 maximisation estimates each labeller's confusion of the unseen classes; it runs
 on the counts of vote patterns, of which there are at most 3 to the power of the
 labellers, whatever the rows.  Two such models are fitted, for quality and for
-toxicity, with annotations (table ``labels``) as one more labeller where there
-are any.  Their posteriors are the soft labels of one hashed linear scorer over
+toxicity; where there are annotations (table ``labels``) these hold the class of
+their texts.  Their posteriors are the soft labels of one hashed linear scorer over
 words and votes, which decides.
 
 Fixed bounds: the lexicon is extended from at most ``max_labels`` annotated rows
@@ -31,6 +31,7 @@ MAX_LABELS = 100_000
 TRAIN_ROWS = 12_000
 FEATURES = 1 << 18
 KEEP = 0.5
+TRUST = 0.999
 
 # Insults that start the toxicity lexicon.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "clown", "disgusting", "imbecile", "vermin")
@@ -107,36 +108,63 @@ def votes(text: Text, raw: np.ndarray, at: np.ndarray, lexicon: np.ndarray) -> t
 
 @dataclass
 class LabelModel:
-    """Prior of the bad class and ``table[labeller, class, vote]`` (class and vote 0: bad, 1: good)."""
+    """Prior of each class, and ``table[labeller, class, vote]`` (vote 0: bad, 1: good).
 
-    bad: float
+    Class 0 is good.  Bad texts come in kinds that seldom go together, so each
+    labeller starts a bad class of its own; one bad class for all would call a
+    text good that a single labeller finds bad.
+    """
+
+    prior: np.ndarray
     table: np.ndarray
 
-    def posterior(self, pattern: np.ndarray) -> np.ndarray:
-        """P(good) of each row of votes; -1 abstains."""
-        odds = np.full(len(pattern), np.log(1 - self.bad) - np.log(self.bad))
+    def classes(self, pattern: np.ndarray) -> np.ndarray:
+        """Posterior of every class (columns) for each row of votes; -1 abstains."""
+        log = np.tile(np.log(self.prior), (len(pattern), 1))
         for k in range(pattern.shape[1]):
-            ratio = np.log(self.table[k, 1]) - np.log(self.table[k, 0])
-            odds += np.where(pattern[:, k] < 0, 0.0, ratio[np.maximum(pattern[:, k], 0)])
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+            by_vote = np.log(self.table[k]).T
+            log += np.where(pattern[:, [k]] < 0, 0.0, by_vote[np.maximum(pattern[:, k], 0)])
+        log -= log.max(axis=1, keepdims=True, initial=-1e300)
+        odds = np.exp(log)
+        return odds / odds.sum(axis=1, keepdims=True)
+
+    def posterior(self, pattern: np.ndarray) -> np.ndarray:
+        """P(good) of each row of votes."""
+        return self.classes(pattern)[:, 0]
 
+    def accuracy(self) -> np.ndarray:
+        """Of each labeller: P(votes bad | bad) and P(votes good | good), where it votes."""
+        bad = self.prior[1:] / self.prior[1:].sum()
+        return np.stack([self.table[:, 1:, 0] @ bad, self.table[:, 0, 1]], axis=1)
 
-def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, steps: int = 200) -> LabelModel:
-    """Fit labeller confusions to vote patterns with their counts; a text with a bad vote starts as probably bad."""
-    good = np.where((pattern == 0).any(axis=1), 0.1, 0.95)
+
+def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, known: np.ndarray | None = None, steps: int = 200) -> LabelModel:
+    """Fit labeller confusions to vote patterns with their counts.
+
+    ``known`` has the annotated class of a pattern's texts (1 good, 0 bad, -1
+    none); it holds with ``TRUST``.
+    """
+    known = np.full(len(pattern), -1) if known is None else known
+    width = pattern.shape[1]
+    bad = (pattern == 0).astype(float)
+    none = bad.sum(axis=1) == 0
+    weight = np.hstack([np.where(none, 0.95, 0.05)[:, None], np.where(none[:, None], 0.05 / width, 0.95 * bad / np.maximum(bad.sum(axis=1, keepdims=True), 1))])
     model = None
     for _ in range(steps):
-        weight = np.stack([(1 - good) * count, good * count])
-        table = np.empty((pattern.shape[1], 2, 2))
-        for k in range(pattern.shape[1]):
+        good = np.where(known < 0, weight[:, 0], np.where(known == 1, TRUST, 1 - TRUST))
+        rest = weight[:, 1:] / np.maximum(weight[:, 1:].sum(axis=1, keepdims=True), 1e-300)
+        mass = np.hstack([good[:, None], (1 - good[:, None]) * rest]) * count[:, None]
+        table = np.empty((width, width + 1, 2))
+        for k in range(width):
             for v in (0, 1):
-                table[k, :, v] = weight[:, pattern[:, k] == v].sum(axis=1) + (1.0 if v else 0.1)
+                table[k, :, v] = mass[pattern[:, k] == v].sum(axis=0) + 0.1
         table /= table.sum(axis=2, keepdims=True)
-        model = LabelModel(float((weight[0].sum() + 1) / (count.sum() + 2)), table)
-        new = model.posterior(pattern)
-        if np.abs(new - good).max(initial=0) < 1e-9:
+        prior = mass.sum(axis=0) + 0.1
+        model = LabelModel(prior / prior.sum(), table)
+        new = model.classes(pattern)
+        if np.abs(new - weight).max(initial=0) < 1e-9:
             break
-        good = new
+        weight = new
     return model
 
 
@@ -288,15 +316,14 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, max_labels: int = MAX_
     code = np.array([r["code"] for r in asked], np.int64)
     pattern = (code[:, None] // 3 ** np.arange(width) % 3 - 1).reshape(len(code), width)
     count = np.array([r["count"] for r in asked], float)
-    annotated = [np.array([r[c] for r in asked], np.int64)[:, None] for c in ("quality", "safe")]
-    quality = expectation_maximisation(np.hstack([pattern[:, : len(QUALITY)], annotated[0]]), count)
-    safety = expectation_maximisation(np.hstack([pattern[:, len(QUALITY) :], annotated[1]]), count)
-    heuristic = [LabelModel(m.bad, m.table[:-1]) for m in (quality, safety)]
+    annotated = [np.array([r[c] for r in asked], np.int64) for c in ("quality", "safe")]
+    quality = expectation_maximisation(pattern[:, : len(QUALITY)], count, annotated[0])
+    safety = expectation_maximisation(pattern[:, len(QUALITY) :], count, annotated[1])
     rate = train_rows / max(1.0, float(count.sum()))
-    sample = plain.filter(spread < rate).mapInArrow(_feature_rows(lexicon, *heuristic), "index array<int>, n_words int, soft double").toArrow()
+    sample = plain.filter(spread < rate).mapInArrow(_feature_rows(lexicon, quality, safety), "index array<int>, n_words int, soft double").toArrow()
     index = [np.asarray(x, np.int64) for x in sample["index"].to_numpy()] if sample.num_rows else []
     weight = fit_linear(index, sample["n_words"].to_numpy(), sample["soft"].to_numpy())
-    return Classifier(lexicon, *heuristic, weight)
+    return Classifier(lexicon, quality, safety, weight)
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, **parameters) -> DataFrame:

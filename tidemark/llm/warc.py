@@ -93,7 +93,7 @@ def _write(folder: str):
                     # A repeated task writes files of its own; only the manifest's are read.
                     path, size, records = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     where.create_dir(base, recursive=True)
-                    out = where.open_output_stream(path)
+                    out = where.open_output_stream(path, compression=None)
                 packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 data = record(row["kind"], row["record_id"], row["uri"] or "", row["payload"] or b"", row["digest"], row["length"], row["refers_to"])
                 member = packer.compress(data) + packer.flush()
