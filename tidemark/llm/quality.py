@@ -32,6 +32,8 @@ TRAIN_ROWS = 12_000
 FEATURES = 1 << 18
 KEEP = 0.5
 TRUST = 0.999
+STEM = 5
+_STEM_SALT = np.uint64(0x5DEECE66D1CE4E5B)
 
 # Insults that start the toxicity lexicon.
 INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "clown", "disgusting", "imbecile", "vermin")
@@ -46,9 +48,10 @@ def _word_array(words) -> np.ndarray:
 
 @dataclass
 class Text:
-    """Bare words of a batch: lower-cased, ASCII punctuation counted as space."""
+    """Bare words of a batch: lower-cased, ASCII punctuation counted as space; and their stems of STEM bytes."""
 
     word: np.ndarray
+    stem: np.ndarray
     first: np.ndarray
 
     @classmethod
@@ -58,7 +61,13 @@ class Text:
         punctuation = ((low >= 33) & (low <= 47)) | ((low >= 58) & (low <= 64)) | ((low >= 91) & (low <= 96)) | ((low >= 123) & (low <= 126))
         low[punctuation] = 32
         starts, ends, first = hashing.words(low, at)
-        return cls(hashing.span_hashes(low, starts, ends), first), raw, at
+        stem = hashing.span_hashes(low, starts, np.minimum(ends, starts + STEM)) ^ _STEM_SALT
+        return cls(hashing.span_hashes(low, starts, ends), stem, first), raw, at
+
+    def units(self, i: int) -> np.ndarray:
+        """Distinct words and stems of a text."""
+        at = slice(self.first[i], self.first[i + 1])
+        return np.unique(np.concatenate([self.word[at], self.stem[at]]))
 
 
 def _share(low: float, high: float, x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -79,7 +88,7 @@ def votes(text: Text, raw: np.ndarray, at: np.ndarray, lexicon: np.ndarray) -> t
     lower = count((raw >= 97) & (raw <= 122))
     symbols = count(np.isin(raw, np.frombuffer(b"*#$%&~^", np.uint8)))
     bangs, bars = count(raw == 33), count(raw == 124)
-    hit = np.isin(text.word, lexicon)
+    hit = np.isin(text.word, lexicon) | np.isin(text.stem, lexicon)
     hits = np.add.reduceat(np.append(hit, False).astype(np.int64), text.first[:-1]) * (n > 0) if len(n) else np.empty(0, np.int64)
     distinct, fresh, kinds = [], np.ones(len(n)), np.zeros(len(n), np.int64)
     for i in range(len(n)):
@@ -271,7 +280,7 @@ def _distinct_words(wanted: np.ndarray | None):
         for whole in batches:
             for batch in hashing.slices(whole, "text"):
                 text, _, _ = Text.of(batch.column("text"))
-                found = [np.unique(text.word[text.first[i] : text.first[i + 1]]) for i in range(batch.num_rows)]
+                found = [text.units(i) for i in range(batch.num_rows)]
                 words = np.concatenate(found) if found else np.empty(0, np.uint64)
                 words = words if wanted is None else words[np.isin(words, wanted)]
                 word, n = np.unique(words, return_counts=True)
@@ -280,8 +289,8 @@ def _distinct_words(wanted: np.ndarray | None):
     return run
 
 
-def learn_lexicon(texts: DataFrame, share: float = 0.1, ratio: float = 20.0, least: int = 8) -> np.ndarray:
-    """Hashes of words in ``share`` of the toxic ``texts(text, toxic)`` and ``ratio`` times rarer in the others."""
+def learn_lexicon(texts: DataFrame, share: float = 0.02, ratio: float = 20.0, least: int = 8) -> np.ndarray:
+    """Hashes of words and stems in ``share`` of the toxic ``texts(text, toxic)`` and ``ratio`` times rarer in the others."""
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     bad, fine = size.get(1, 0), size.get(0, 0)
     if not bad or not fine:
