@@ -81,7 +81,7 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch, long_line: int = LONG_LIN
     )
     # The bytes of every candidate, from the texts that have one; a hash whose bytes differ is left alone.
     spans = found.groupBy(*_KEY).agg(F.collect_list(F.struct("h", "first", "last")).alias("spans"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(spans, _KEY).withColumn("lines", F.split("text", "\n"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(spans.hint("merge"), _KEY).withColumn("lines", F.split("text", "\n"))
     bodies = texts.select(F.explode(F.transform("spans", lambda c: F.struct(c["h"].alias("h"), _body(c).alias("body")))).alias("c")).select("c.*")
     differ = scratch.table(bodies.groupBy("h").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).filter("lo <> hi").select("h"), "differ")
     if not differ.isEmpty():
@@ -104,7 +104,7 @@ def dedup_lines(docs: DataFrame, long_line: int = LONG_LINE, run_words: int = RU
     cuts = cuts.distinct().groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_cuts"), F.array_sort(F.collect_set("kept_in")).alias("_kept"))
     cuts = scratch.table(cuts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_cuts", "_kept"), "cuts")
     plain = docs.drop("n_lines", "n_removed", "removed", "kept_in")
-    joined = plain.withColumn("_hash", F.xxhash64("text")).join(cuts.withColumnRenamed("_hash", "_h2"), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_h2")), "left")
+    joined = plain.withColumn("_hash", F.xxhash64("text")).join(cuts.withColumnRenamed("_hash", "_h2").hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_h2")), "left")
     lines = F.split("text", "\n")
     edges = F.concat(F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"))), F.col("_cuts"))
     pieces = F.transform(edges, lambda c, i: F.slice(F.col("_lines"), c["last"] + 1, F.greatest(F.coalesce(F.get("_cuts", i)["first"], F.size("_lines") + 1) - c["last"] - 1, F.lit(0))))
