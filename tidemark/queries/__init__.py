@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from typing import NamedTuple
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-class Query(NamedTuple):
-    run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
-
+from tidemark.queries import dynamics, evaluation, geometry, graphs, kernels, panels, reports, statistics, windows
+from tidemark.queries.base import Query
 
 QUERIES: dict[str, Query] = {}
+for _module in (panels, windows, dynamics, statistics, graphs, evaluation, reports, geometry, kernels):
+    QUERIES |= _module.QUERIES
