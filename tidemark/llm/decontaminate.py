@@ -25,6 +25,7 @@ UNITS = (
     "percent", "mm", "cm", "m", "km", "meters", "metres", "miles", "feet", "inches", "mg", "g", "kg", "grams", "tons", "ml", "l", "liters", "litres",
     "s", "ms", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "mph", "kph", "dollars", "euros", "cents", "pounds", "degrees",
 )
+_SPACES = "\t\n\x0b\x0c\r"
 _PUNCTUATION = r"""!"$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
@@ -34,15 +35,17 @@ def canonical_words(text) -> tuple[F.Column, F.Column]:
     A name is a capitalised word that doesn't start a sentence or line.
     """
     plain = F.translate(F.coalesce(text, F.lit("")), "#\u0001\u0002\u0003", "    ")
-    named = F.regexp_replace(plain, r"(?<=[\p{Ll}\p{N},;][ \t])\p{Lu}[\p{Ll}'-]+", "\u0001")
+    # The capital first, then what stands before it: the engine looks back at capitals only.
+    named = F.regexp_replace(plain, r"\p{Lu}(?<=[\p{Ll}\p{N},;][ \t]\p{Lu})[\p{Ll}'-]+", "\u0001")
     numbered = F.regexp_replace(named, r"[+-]?[0-9][0-9.,:/]*[0-9]|[0-9]", "\u0002")
     united = F.regexp_replace(numbered, "(?<=\u0002 )(?:" + "|".join(UNITS) + r")\b", "\u0003")
+    slotted = F.when(plain.rlike("[0-9]"), united).otherwise(named)
 
     def split(x) -> F.Column:
-        bare = F.trim(F.regexp_replace(F.translate(F.lower(x), _PUNCTUATION, ""), r"[\x20\x09-\x0D]+", " "))
-        return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " "))
+        bare = F.translate(F.lower(x), _SPACES + _PUNCTUATION, " " * len(_SPACES))
+        return F.array_remove(F.split(bare, " "), "")
 
-    return split(united), split(plain)
+    return split(slotted), split(plain)
 
 
 def _windows(rows: DataFrame, key: str, width: int) -> DataFrame:
