@@ -76,7 +76,8 @@ def mann_whitney(df: DataFrame, value: str, group: str, keys: Sequence[str] = ()
     var = F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1)))
     big = F.greatest(u, F.col("n1") * F.col("n2") - u)
     z = F.when(var > 0, (big - F.col("n1") * F.col("n2") / 2 - 0.5) / F.sqrt(var))
-    return s.select(*keys, "n1", "n2", u.alias("u"), (u / (F.col("n1") * F.col("n2"))).alias("auc"), F.least(F.lit(1.0), 2 * (1 - normal_cdf(z))).alias("p_value"))
+    t = s.select(*keys, "n1", "n2", u.alias("u"), (u / (F.col("n1") * F.col("n2"))).alias("auc"), z.alias("_z"))
+    return t.withColumn("p_value", F.least(F.lit(1.0), 2 * (1 - normal_cdf(F.col("_z"))))).drop("_z")
 
 
 def diebold_mariano(aligned: DataFrame, keys: Sequence[str], horizon: str = "h", origin: str = "t0", loss: str = "squared", least: int = 10) -> DataFrame:
@@ -99,7 +100,8 @@ def diebold_mariano(aligned: DataFrame, keys: Sequence[str], horizon: str = "h",
     all_ = base.join(extra, group, "left")
     var = F.greatest(F.col("var") + F.coalesce("extra", F.lit(0.0)), F.lit(1e-12))
     stat = F.when(F.col("n") >= least, F.col("mean") / F.sqrt(var / F.col("n")))
-    return all_.select(*group, stat.alias("dm_stat"), (2 * (1 - normal_cdf(F.abs(stat)))).alias("p_value"), "n")
+    # A column of its own: the series of the distribution function refers to it many times.
+    return all_.select(*group, stat.alias("dm_stat"), "n").withColumn("p_value", 2 * (1 - normal_cdf(F.abs("dm_stat"))))
 
 
 def error_metrics(df: DataFrame, keys: Sequence[str], actual: str = "actual", pred: str = "pred") -> DataFrame:

@@ -58,7 +58,7 @@ def _deseasonalised_panel(spark, sf):
 
 
 def _regulated_sum(spark, sf):
-    return P.regulated_sum(station_grid(spark, sf), years=(1996, 2000)).select("entity", "month", F.round("flow", 3).alias("flow"))
+    return P.regulated_sum(station_grid(spark, sf), years=(1996, 2000)).select("entity", "month", F.round(F.col("flow") / 30.4375, 4).alias("flow_per_day"))
 
 
 def _unit_conversion(spark, sf):
@@ -86,7 +86,7 @@ def _availability(spark, sf):
 def _completeness(spark, sf):
     long = panel(spark, sf).unpivot(["entity"], list(VARIABLES), "variable", "x").filter("not (entity = 'ASIA' and variable = 'R')")
     wide = long.groupBy("entity").pivot("variable", list(VARIABLES)).agg(F.format_string("%.1f", 100 * F.avg(F.col("x").isNotNull().cast("double"))))
-    return wide.na.fill("not applicable").select("entity", *[F.col(v).alias(v.lower()) for v in VARIABLES])
+    return wide.select("entity", *[F.coalesce(v, F.lit("not applicable")).alias(v.lower()) for v in VARIABLES])
 
 
 def _truthy(spark, sf):
@@ -136,7 +136,7 @@ QUERIES = {
     "clean_and_combine": Query(_clean_and_combine, sql("SELECT entity, month, round(wl, 2) AS wl FROM level", "level")),
     "regulated_sum": Query(_regulated_sum, sql("""
         WITH f AS (SELECT entity, count(DISTINCT station) AS n FROM station_grid WHERE value IS NOT NULL GROUP BY ALL)
-        SELECT entity, month, CASE WHEN year(month) BETWEEN 1996 AND 2000 AND count(value) = any_value(n) THEN round(sum(value), 3) END AS flow
+        SELECT entity, month, CASE WHEN year(month) BETWEEN 1996 AND 2000 AND count(value) = any_value(n) THEN round(sum(value) / 30.4375::DOUBLE, 4) END AS flow_per_day
         FROM station_grid JOIN f USING (entity) GROUP BY entity, month""", "station_grid")),
     "unit_conversion": Query(_unit_conversion, sql("""
         SELECT entity, month, round(Temp - 273.15, 6) AS t_c, round(R * 1000.0, 6) AS r_mm,

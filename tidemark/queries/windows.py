@@ -67,7 +67,7 @@ def _folds(spark, sf):
 
 def _changes(spark, sf):
     d = S.difference_of_observed(station_grid(spark, sf), "value", KEYS)
-    return d.select(*KEYS, "month", F.round("change", 3).alias("change"))
+    return d.select(*KEYS, "month", F.round(F.col("change") / (F.col("value") - F.col("change")), 8).alias("relative_change"))
 
 
 def _fixed(spark, sf):
@@ -132,6 +132,6 @@ QUERIES = {
         WITH n AS (SELECT entity, count(*) AS n FROM supplier_obs GROUP BY ALL), s AS (SELECT *, n // 2 AS half, (n - n // 2) // 4 AS size FROM n)
         SELECT entity, f AS fold, half + size * (f - 1) AS train_end, half + size * f AS val_end FROM s, (SELECT unnest(range(1, 4)) AS f) WHERE size >= 5""", "supplier_obs")),
     "observed_changes": Query(_changes, sql("""
-        SELECT entity, station, month, round(value - lag(value) OVER (PARTITION BY entity, station ORDER BY month), 3) AS change FROM station_obs""", "station_obs")),
+        SELECT entity, station, month, round(value / lag(value) OVER (PARTITION BY entity, station ORDER BY month) - 1, 8) AS relative_change FROM station_obs""", "station_obs")),
     "fixed_calendar": Query(_fixed, sql("SELECT entity, 372::BIGINT AS n, count(x) AS n_observed FROM supplier_obs GROUP BY ALL", "supplier_obs")),
 }
