@@ -33,8 +33,9 @@ HASHES = 7
 SCALE = 1.5
 DISCOUNT = 0.1
 SHARD_BYTES = 128 << 20
-FLUSH = 6_000_000
+FLUSH = 2_000_000
 LEVELS = 100
+SLICE = 2 << 20
 
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x9FB21C651E98DF25)
@@ -123,7 +124,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from flush(order)
 
     for whole in batches:
-        for batch in hashing.slices(whole, "text"):
+        for batch in hashing.slices(whole, "text", SLICE):
             token, first = _tokens(batch.column("text"))
             _, pair = _pairs(token, first)
             for order, key in ((1, token), (2, pair)):
@@ -217,7 +218,7 @@ def _share_rows(word_filter, pair_filter):
         words, pairs = Filter(*word_filter.value), Filter(*pair_filter.value)
         table = np.zeros((2, LEVELS), np.int64)
         for whole in batches:
-            for batch in hashing.slices(whole, "text"):
+            for batch in hashing.slices(whole, "text", SLICE):
                 token, first = _tokens(batch.column("text"))
                 before, pair = _pairs(token, first)
                 pair, at, n = np.unique(pair, return_index=True, return_counts=True)
@@ -239,7 +240,7 @@ def _score_rows(word_filter, pair_filter, shard, share: np.ndarray, n_tokens: in
         words, pairs = Filter(*word_filter.value), Filter(*pair_filter.value)
         total = np.log10(n_tokens + 0.5 * (n_types + 1))
         for whole in batches:
-            for batch in hashing.slices(whole, "text"):
+            for batch in hashing.slices(whole, "text", SLICE):
                 token, first = _tokens(batch.column("text"))
                 owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
                 kind, back = np.unique(token, return_inverse=True)
