@@ -32,6 +32,8 @@ TRAIN_ROWS = 12_000
 FEATURES = 1 << 18
 KEEP = 0.5
 TRUST = 0.999
+PRECISION = 0.999
+PRIOR = 0.1
 STEM = 5
 _STEM_SALT = np.uint64(0x5DEECE66D1CE4E5B)
 
@@ -147,11 +149,13 @@ class LabelModel:
         return np.stack([self.table[:, 1:, 0] @ bad, self.table[:, 0, 1]], axis=1)
 
 
-def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, known: np.ndarray | None = None, steps: int = 200) -> LabelModel:
+def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, known: np.ndarray | None = None, steps: int = 3000) -> LabelModel:
     """Fit labeller confusions to vote patterns with their counts.
 
     ``known`` has the annotated class of a pattern's texts (1 good, 0 bad, -1
-    none); it holds with ``TRUST``.
+    none); it holds with ``TRUST``.  A prior with ``PRIOR`` of the data's weight expects
+    labellers to be right on good texts with ``PRECISION``: a kind of bad text
+    that one labeller alone sees could otherwise as well be its errors.
     """
     known = np.full(len(pattern), -1) if known is None else known
     width = pattern.shape[1]
@@ -167,6 +171,7 @@ def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, known: np.n
         for k in range(width):
             for v in (0, 1):
                 table[k, :, v] = mass[pattern[:, k] == v].sum(axis=0) + 0.1
+                table[k, 0, v] += PRIOR * count.sum() * (PRECISION if v else 1 - PRECISION)
         table /= table.sum(axis=2, keepdims=True)
         prior = mass.sum(axis=0) + 0.1
         model = LabelModel(prior / prior.sum(), table)
@@ -266,7 +271,7 @@ class Classifier:
                     index, value, start = _features(found, distinct)
                     row = np.repeat(np.arange(len(found)), np.diff(start))
                     z = np.bincount(row, weight[index] * value, minlength=len(found)) + weight[-1]
-                    score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+                    score = np.where(np.diff(text.first) > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
                     good = quality.posterior(found[:, : len(QUALITY)])
                     safe = safety.posterior(found[:, len(QUALITY) :])
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good), pa.array(safe), pa.array(score), pa.array(score >= keep)], names=[*columns, "p_good", "p_safe", "score", "accepted"])
@@ -338,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, max_labels: int = MAX_
 def classify(docs: DataFrame, labels: DataFrame | None = None, **parameters) -> DataFrame:
     """``docs`` plus p_good, p_safe, score and accepted, by a classifier fitted to them.
 
-    A null or blank text has no words, votes as empty and is rejected.  Equal
+    A null or blank text has no words, scores 0 and is rejected.  Equal
     texts score equally; rows of an empty table come back as an empty table.
     Columns passed in under the added names are replaced; labels of unknown
     doc_ids are ignored and of repeated ones the larger value counts.
