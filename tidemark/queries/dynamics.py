@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tidemark.config import DRIVER
 from tidemark.operators import embedding as E
 from tidemark.queries.base import Query, sql
-from tidemark.queries.panels import anomaly
+from tidemark.queries.panels import stored_anomaly as anomaly
 from tidemark.sources import tables as T
 
 LAGS = tuple(range(-3, 4))

@@ -8,7 +8,7 @@ from tidemark.config import DRIVER
 from tidemark.operators import evaluate as V
 from tidemark.operators import stats as S
 from tidemark.queries.base import Query, sql
-from tidemark.queries.panels import anomaly
+from tidemark.queries.panels import stored_anomaly as anomaly
 from tidemark.queries.statistics import PHI
 
 WINDOW = 24

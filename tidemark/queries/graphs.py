@@ -10,7 +10,7 @@ from tidemark.operators import features as X
 from tidemark.operators import graph as G
 from tidemark.operators import selection as Sel
 from tidemark.queries.base import Query, sql
-from tidemark.queries.panels import anomaly
+from tidemark.queries.panels import stored_anomaly as anomaly
 from tidemark.queries.statistics import tested
 from tidemark.sources import tables as T
 

@@ -11,6 +11,7 @@ from tidemark.functions.scalar import as_bool, fingerprint, seed_of, to_number,
 from tidemark.operators import panel as P
 from tidemark.operators import quality as Q
 from tidemark.operators import series as S
+from tidemark.plans.lineage import cut
 from tidemark.queries.base import Query, sql
 from tidemark.sources import tables as T
 
@@ -37,6 +38,11 @@ def anomaly(spark: SparkSession, sf: str) -> DataFrame:
     return P.deseasonalise(panel(spark, sf), VARIABLES, DRIVER.horizon)
 
 
+def stored_anomaly(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, computed once and stored: for plans that read it several times."""
+    return cut(anomaly(spark, sf))
+
+
 def _station_panel(spark, sf):
     grid = station_grid(spark, sf)
     known = grid.groupBy("entity", "month").agg(F.avg(F.col("value").isNotNull().cast("double")).alias("k"))
@@ -85,8 +91,8 @@ def _availability(spark, sf):
 
 def _completeness(spark, sf):
     long = panel(spark, sf).unpivot(["entity"], list(VARIABLES), "variable", "x").filter("not (entity = 'ASIA' and variable = 'R')")
-    wide = long.groupBy("entity").pivot("variable", list(VARIABLES)).agg(F.format_string("%.1f", 100 * F.avg(F.col("x").isNotNull().cast("double"))))
-    return wide.select("entity", *[F.coalesce(v, F.lit("not applicable")).alias(v.lower()) for v in VARIABLES])
+    wide = long.groupBy("entity").pivot("variable", list(VARIABLES)).agg(100 * F.avg(F.col("x").isNotNull().cast("double")))
+    return wide.select("entity", *[F.when(F.col(v).isNull(), "not applicable").otherwise(F.format_string("%.1f", v)).alias(v.lower()) for v in VARIABLES])
 
 
 def _truthy(spark, sf):

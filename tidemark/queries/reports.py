@@ -9,7 +9,8 @@ from tidemark.operators import embedding as E
 from tidemark.operators import report as R
 from tidemark.queries.base import Query, sql
 from tidemark.queries.dynamics import _simplex_sql
-from tidemark.queries.panels import anomaly, station_grid
+from tidemark.queries.panels import station_grid
+from tidemark.queries.panels import stored_anomaly as anomaly
 from tidemark.queries.statistics import tested
 from tidemark.sources import tables as T
 
