@@ -14,13 +14,13 @@ GRID = (2, 0.1, 40)
 
 
 def _iaaft(spark, sf):
-    return M.surrogates(anomaly(spark, sf).withColumn("t", F.col("t").cast("int")), "P", 3)
+    return M.surrogates(anomaly(spark, sf).withColumn("t", F.col("t").cast("int")), "P", DRIVER.n_surrogates)
 
 
 def _edges(spark, sf):
     a = anomaly(spark, sf)
     long = a.unpivot(["entity", "t", "WL"], ["P", "RegFlow", "SWE"], "cause", "x").select("entity", "cause", F.lit("WL").alias("effect"), F.col("t").cast("int").alias("t"), "x", F.col("WL").alias("y"))
-    return M.test_edges(long, 3, 1, range(-2, 3), 19, draws=5)
+    return M.test_edges(long, 3, 1, DRIVER.lags, DRIVER.n_surrogates)
 
 
 def _panel(spark, sf):
@@ -38,7 +38,7 @@ def _rolling_boosted(spark, sf):
 
 
 def _tune(spark, sf):
-    return M.tune(_panel(spark, sf), "WL", ((2, 0.1, 20), (2, 0.1, 40), (3, 0.1, 20)))
+    return M.tune(_panel(spark, sf), "WL", DRIVER.tuning_grid)
 
 
 def _arima(spark, sf):
