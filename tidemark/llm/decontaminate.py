@@ -48,12 +48,15 @@ def canonical_words(text) -> tuple[F.Column, F.Column]:
     return split(slotted), split(plain)
 
 
-def _windows(rows: DataFrame, key: str, width: int) -> DataFrame:
-    """(key, pos, h) of every window; a text of fewer than ``width`` words has one."""
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-    with_hashes = rows.withColumn("hashes", hashes).filter(F.size("words") > 0)
-    count = F.greatest(F.size("hashes") - width + 1, F.lit(1))
-    return with_hashes.select(key, F.posexplode(F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice("hashes", i, width)))).alias("pos", "h"))
+def _windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
+    """(key, n, pos, h) of every window of ``n`` words for each of ``lengths``."""
+    with_hashes = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).filter(F.size("words") >= min(lengths))
+
+    def of(n: int) -> F.Column:
+        starts = F.when(F.size("hashes") >= n, F.sequence(F.lit(1), F.size("hashes") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), i.alias("pos"), F.xxhash64(F.slice("hashes", i, n)).alias("h")))
+
+    return with_hashes.select(key, F.explode(F.concat(*map(of, lengths))).alias("w")).select(key, "w.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:
@@ -67,12 +70,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: floa
     item_words, item_plain = canonical_words(F.col("text"))
     items = benchmark.select("item_id", item_words.alias("words"), item_plain.alias("plain"))
     items = scratch.table(items, "items")
-    item_windows = scratch.table(_windows(items, "item_id", width).withColumnRenamed("pos", "item_pos"), "item-windows")
+    # An item of fewer than ``width`` words has one window, of its own length.
+    short = sorted(r.n for r in items.select(F.size("words").alias("n")).filter((F.col("n") > 0) & (F.col("n") < width)).distinct().collect())
+    whole = _windows(items, "item_id", [width])
+    for n in short:
+        whole = whole.unionAll(_windows(items.filter(F.size("words") == n), "item_id", [n]))
+    item_windows = scratch.table(whole.withColumnRenamed("pos", "item_pos"), "item-windows")
     n_windows = item_windows.count()
     doc_words, doc_plain = canonical_words(F.col("text"))
-    doc_windows = _windows(docs.select("doc_id", doc_words.alias("words")), "doc_id", width)
+    doc_windows = _windows(docs.select("doc_id", doc_words.alias("words")), "doc_id", [*short, width])
     wanted = F.broadcast(item_windows) if n_windows <= BROADCAST_WINDOWS else item_windows
-    hits = doc_windows.join(wanted, "h").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
+    hits = doc_windows.join(wanted, ["n", "h"]).select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
     sizes = item_windows.groupBy("item_id").agg(F.count("*").alias("item_windows"))
     aligned = hits.groupBy("doc_id", "item_id", "offset").agg(F.count("*").alias("windows")).join(F.broadcast(sizes) if n_windows <= BROADCAST_WINDOWS else sizes, "item_id")
     aligned = scratch.table(aligned.filter(F.col("windows") >= cover * F.col("item_windows")), "aligned")
