@@ -16,3 +16,25 @@ def test_short_items_are_found_inside_documents(spark):
     items = [(1, "who painted the old ceiling"), (2, "why is the sky so blue"), (3, " ".join(f"w{i}" for i in "abcdefghij"))]
     docs = [(1, around.format("who painted the old ceiling")), (2, around.format("why is the sky so blue")), (3, around.format("who painted the ceiling")), (4, "why is the sky so blue"), (5, "who painted")]
     assert leaks(spark, items, docs) == {(1, 1), (2, 2), (4, 2)}
+
+
+QUESTION = "a farmer keeps 12 hens and sells eggs every morning at the market near the bridge because 12 hens lay more than the family eats in one long summer week"
+
+
+def test_values_outside_the_quoted_part_do_not_matter(spark):
+    part = " ".join(QUESTION.split()[:20])  # holds the 12 at one place, and 12 again beyond the middle
+    goes_on = f"{part} lay 77 other things that go 99 on quite differently from here until the text is over"
+    assert QUESTION.split()[17:19] == ["12", "hens"]
+    away = part.rsplit(" ", 4)[0] + " and then something else 55 hens of another kind that nobody asked about in this text"
+    assert leaks(spark, [(1, QUESTION)], [(1, goes_on), (2, away)]) >= {(1, 1)}
+    late = "one two three four five six seven 12 nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen 12 nineteen twenty"
+    cut = " ".join(late.split()[:16]) + " other 55 words follow"
+    assert leaks(spark, [(1, late)], [(1, cut), (2, late.replace("12", "31", 1))]) == {(1, 1)}
+
+
+def test_an_inserted_word_does_not_hide_an_item(spark):
+    w = QUESTION.split()
+    put_in = " ".join([*w[:14], "quietly", *w[14:]])
+    left_out = " ".join([*w[:14], *w[15:]])
+    other = " ".join([*w[:14], "quietly", *w[14:]]).replace("12", "13", 1)
+    assert leaks(spark, [(1, QUESTION)], [(1, put_in), (2, left_out), (3, other)]) == {(1, 1), (2, 1)}

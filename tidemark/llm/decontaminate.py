@@ -5,13 +5,16 @@ again with other values keeps its template.  Windows of ``width`` canonical
 words of the benchmark are hash-joined with those of the documents.  A document
 leaks an item if, at one alignment, it holds at least ``cover`` of the item's
 windows and the placeholders are consistent: each value of the item's slots
-corresponds to one value of the document's.  All of it is DataFrame expressions.
+inside these windows corresponds to one value of the document's.  An alignment
+is one offset, or several with steps of at most ``width`` words, so that words
+put in or left out don't divide a passage.  All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.store import Scratch
 
@@ -59,12 +62,33 @@ def _windows(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
     return with_hashes.select(key, F.explode(F.concat(*map(of, lengths))).alias("w")).select(key, "w.*")
 
 
+def _alignments(hits: DataFrame, width: int) -> DataFrame:
+    """``hits`` by alignment: (doc_id, item_id, several, at, offset, item_pos, here).
+
+    Every offset is an alignment, and so is every chain of neighbouring offsets,
+    with each of the item's windows at the offset that has the most of them and
+    each of the document's taken once.
+    """
+    pair = ["doc_id", "item_id"]
+    here = F.count("*").over(Window.partitionBy(*pair, "offset"))
+    step = F.col("offset") - F.lag("offset").over(Window.partitionBy(*pair).orderBy("offset"))
+    chain = F.sum(F.when(step <= width, 0).otherwise(1)).over(Window.partitionBy(*pair).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0))
+    rows = hits.withColumn("here", here).withColumn("chain", chain)
+    place = F.row_number().over(Window.partitionBy(*pair, "chain", "item_pos").orderBy(F.desc("here"), "offset"))
+    ends = Window.partitionBy(*pair, "chain")
+    taken = F.row_number().over(Window.partitionBy(*pair, "chain", F.col("item_pos") + F.col("offset")).orderBy(F.desc("here"), "offset"))
+    several = rows.withColumns({"lo": F.min("offset").over(ends), "hi": F.max("offset").over(ends)}).filter("lo < hi").withColumn("place", place).filter("place = 1").withColumn("taken", taken).filter("taken = 1")
+    one = rows.select(*pair, F.lit(False).alias("several"), F.col("offset").cast("long").alias("at"), "offset", "item_pos", "here")
+    return one.unionAll(several.select(*pair, F.lit(True), F.col("chain"), "offset", "item_pos", "here"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:
     """``(doc_id, item_id, windows, item_windows, covered, offset)``: one row for each document and leaked item.
 
     ``docs(doc_id, text)`` and ``benchmark(item_id, text)``; null or blank texts
-    leak nothing.  Rows repeating a doc_id count as one document.  The best
-    alignment is returned, the smallest offset of equals.
+    leak nothing.  Rows repeating a doc_id count as one document.  ``covered``
+    is the share of the item's windows in the best alignment; ``windows`` are
+    those at its fullest ``offset``, the smallest of equals.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     item_words, item_plain = canonical_words(F.col("text"))
@@ -82,33 +106,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: floa
     wanted = F.broadcast(item_windows) if n_windows <= BROADCAST_WINDOWS else item_windows
     hits = doc_windows.join(wanted, ["n", "h"]).select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
     sizes = item_windows.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    aligned = hits.groupBy("doc_id", "item_id", "offset").agg(F.count("*").alias("windows")).join(F.broadcast(sizes) if n_windows <= BROADCAST_WINDOWS else sizes, "item_id")
-    aligned = scratch.table(aligned.filter(F.col("windows") >= cover * F.col("item_windows")), "aligned")
-
-    # Slots: positions where the item has a placeholder, with both plain values.
-    slots = items.select("item_id", F.posexplode(F.arrays_zip("words", "plain")).alias("at", "w")).filter(F.col("w.words").rlike("^[\u0001\u0002\u0003]$"))
-    slots = scratch.table(slots.select("item_id", "at", F.col("w.plain").alias("item_value")), "slots")
-    inconsistent = None
-    if not slots.isEmpty():
-        asked = scratch.table(aligned.join(slots, "item_id"), "asked")
+    small = n_windows <= BROADCAST_WINDOWS
+    # An alignment of several offsets can only add windows: pairs below the threshold in all their hits are out.
+    enough = F.col("windows") >= cover * F.col("item_windows")
+    hits = scratch.table(hits, "hits")
+    pairs = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("windows")).join(F.broadcast(sizes) if small else sizes, "item_id")
+    hits = hits.join(pairs.filter(enough).select("doc_id", "item_id", "item_windows"), ["doc_id", "item_id"])
+    alignment = ["doc_id", "item_id", "several", "at"]
+    placed = _alignments(hits, width).withColumn("windows", F.count("*").over(Window.partitionBy(*alignment)))
+    placed = scratch.table(placed.join(F.broadcast(sizes) if small else sizes, "item_id").filter(enough), "placed")
+    aligned = placed.groupBy(*alignment).agg(F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"), F.max(F.struct("here", -F.col("offset"))).alias("best"))
+
+    # Slots: positions inside matched windows where the item has a placeholder, with both plain values.
+    slots = items.select("item_id", F.posexplode(F.arrays_zip("words", "plain")).alias("slot", "w")).filter(F.col("w.words").rlike("^[\u0001\u0002\u0003]$"))
+    slots = slots.select("item_id", "slot", F.col("w.plain").alias("item_value"))
+    inner = slots.join(item_windows.select("item_id", "item_pos", "n"), "item_id").filter((F.col("slot") >= F.col("item_pos") - 1) & (F.col("slot") < F.col("item_pos") - 1 + F.col("n")))
+    inner = scratch.table(inner.select("item_id", "item_pos", "slot", "item_value"), "slots")
+    if not inner.isEmpty():
+        asked = placed.join(inner, ["item_id", "item_pos"]).select(*alignment, "item_value", (F.col("slot") + F.col("offset")).alias("doc_at")).distinct()
+        asked = scratch.table(asked, "asked")
         ids = asked.select("doc_id").distinct()
         n_ids = ids.count()
         plain = docs.join(F.broadcast(ids) if n_ids <= BROADCAST_DOCS else ids, "doc_id").select("doc_id", doc_words.alias("doc_words"), doc_plain.alias("doc_plain"))
-        at = F.col("at") + F.col("offset")
-        pairs = plain.join(asked, "doc_id").select(
-            "doc_id", "item_id", "offset", "item_value", F.get("doc_words", at).alias("doc_type"), F.get("doc_plain", at).alias("doc_value")
-        ).filter(F.col("doc_type").rlike("^[\u0001\u0002\u0003]$"))
-        inconsistent = (
-            pairs.groupBy("doc_id", "item_id", "offset", "item_value")
-            .agg(F.min("doc_value").alias("lo"), F.max("doc_value").alias("hi"))
-            .filter("lo <> hi")
-            .select("doc_id", "item_id", "offset")
-            .distinct()
-        )
-    if inconsistent is not None:
-        aligned = aligned.join(inconsistent, ["doc_id", "item_id", "offset"], "left_anti")
-    best = aligned.groupBy("doc_id", "item_id").agg(F.max(F.struct("windows", -F.col("offset"))).alias("best"), F.max("item_windows").alias("item_windows"))
-    return best.select("doc_id", "item_id", F.col("best.windows").alias("windows"), "item_windows", (F.col("best.windows") / F.col("item_windows")).alias("covered"), (-F.col("best.col2")).alias("offset"))
+        values = plain.join(asked, "doc_id").select(*alignment, "item_value", F.get("doc_words", F.col("doc_at")).alias("doc_type"), F.get("doc_plain", F.col("doc_at")).alias("doc_value"))
+        values = values.filter(F.col("doc_type").rlike("^[\u0001\u0002\u0003]$"))
+        differing = values.groupBy(*alignment, "item_value").agg(F.min("doc_value").alias("lo"), F.max("doc_value").alias("hi")).filter("lo <> hi")
+        aligned = aligned.join(differing.select(*alignment).distinct(), alignment, "left_anti")
+    best = aligned.groupBy("doc_id", "item_id").agg(F.max("best").alias("best"), F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"))
+    return best.select("doc_id", "item_id", F.col("best.here").alias("windows"), "item_windows", (F.col("windows") / F.col("item_windows")).alias("covered"), (-F.col("best.col2")).alias("offset"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:
