@@ -37,4 +37,4 @@ def test_an_inserted_word_does_not_hide_an_item(spark):
     put_in = " ".join([*w[:14], "quietly", *w[14:]])
     left_out = " ".join([*w[:14], *w[15:]])
     other = " ".join([*w[:14], "quietly", *w[14:]]).replace("12", "13", 1)
-    assert leaks(spark, [(1, QUESTION)], [(1, put_in), (2, left_out), (3, other)]) == {(1, 1), (2, 1)}
+    assert leaks(spark, [(1, QUESTION)], [(1, put_in), (2, left_out), (3, other), (None, put_in)]) == {(1, 1), (2, 1), (None, 1)}

@@ -111,7 +111,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: floa
     enough = F.col("windows") >= cover * F.col("item_windows")
     hits = scratch.table(hits, "hits")
     pairs = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("windows")).join(F.broadcast(sizes) if small else sizes, "item_id")
-    hits = hits.join(pairs.filter(enough).select("doc_id", "item_id", "item_windows"), ["doc_id", "item_id"])
+    pairs = pairs.filter(enough).select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item"))
+    hits = hits.join(pairs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("item_id") == F.col("_item")), "left_semi")
     alignment = ["doc_id", "item_id", "several", "at"]
     placed = _alignments(hits, width).withColumn("windows", F.count("*").over(Window.partitionBy(*alignment)))
     placed = scratch.table(placed.join(F.broadcast(sizes) if small else sizes, "item_id").filter(enough), "placed")
