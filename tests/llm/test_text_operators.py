@@ -295,29 +295,90 @@ def test_pii_edges(edges, empty):
 
 def test_bloom_lm_base_is_exact(docs, texts):
     out = {r.doc_id: r for r in bloom_lm.score_texts(docs).collect()}
-    several = {r.doc_id: r for r in bloom_lm.score_texts(docs, shard_bytes=2000).collect()}
+    small = {r.doc_id: r for r in bloom_lm.score_texts(docs, table_words=100).collect()}  # most words come by the join
+    none = {r.doc_id: r for r in bloom_lm.score_texts(docs, table_words=0).collect()}
     tokens = {i: [*words(t), "</s>"] for i, t in enumerate(texts)}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
     c = collections.Counter(w for i in tokens if not held[i] for w in tokens[i])
     n, v = sum(c.values()), len(c)
     for i in tokens:
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i])
-        for r in (out[i], several[i]):
+        for r in (out[i], small[i], none[i]):
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(tokens[i]), sum(c[w] > 0 for w in tokens[i]), n)
             assert r.base_score == pytest.approx(base, rel=1e-9)
-        assert out[i].score <= 0 and several[i].score == pytest.approx(out[i].score)
+        assert out[i].score <= 0 and small[i].score == pytest.approx(out[i].score) == pytest.approx(none[i].score)
+
+
+def quantised(count):
+    return float(bloom_lm.TYPICAL[bloom_lm.level_of(np.array([count]))[0]]) if count else 0.0
+
+
+def test_bloom_lm_score_equals_brute_force(docs, texts):
+    """The same model from plain dictionaries of counts; with many bits a key the filter reads hardly any count too high."""
+    out = {r.doc_id: r for r in bloom_lm.score_texts(docs, bits_per_key=1024).collect()}
+    tokens = {i: [*words(t), "</s>"] for i, t in enumerate(texts)}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
+    one = collections.Counter(w for i in train for w in tokens[i])
+    pairs = {i: list(zip(["<s>", *tokens[i][:-1]], tokens[i], strict=True)) for i in tokens}
+    two = collections.Counter(p for i in train for p in pairs[i])
+    n, v = sum(one.values()), len(one)
+    once, twice = (sum(k == x for k in two.values()) for x in (1, 2))
+    delta = once / (once + 2 * twice)
+    size, kinds = collections.Counter(), collections.Counter()
+    group = lambda a: "<s>" if a == "<s>" else quantised(one[a])
+    for i in train:
+        for a, b in pairs[i]:
+            size[group(a)] += 1
+            kinds[group(a)] += 1 / quantised(two[a, b])
+    assert len(two) * 0.9 < sum(kinds.values()) < len(two) * 1.1  # every distinct pair counts about once
+    for i in tokens:
+        score = 0.0
+        for a, b in pairs[i]:
+            single = (quantised(one[b]) + 0.5) / (n + 0.5 * (v + 1))
+            count = float(len(train)) if a == "<s>" else quantised(one[a])
+            p = max(min(quantised(two[a, b]), count) - delta, 0) / count + delta * kinds[group(a)] / size[group(a)] * single if count else single
+            score += math.log10(min(p, 1.0))
+        assert out[i].score == pytest.approx(score, rel=1e-3)
+
+
+def test_bloom_lm_knows_pairs_seen_once(spark):
+    """A held-out copy of a training text scores above other held-out texts."""
+    rng = random.Random(8)
+    make = lambda: " ".join(f"v{rng.randrange(3000)}" for _ in range(80))
+    rows = [(i, make()) for i in range(200)]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1]
+    kept = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    copies = dict(zip(held[: len(held) // 2], kept, strict=False))
+    rows = [(i, rows[copies[i]][1] if i in copies else t) for i, t in rows]
+    out = {r.doc_id: r.score for r in bloom_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(out[i] for i in copies) > max(out[i] for i in held if i not in copies)
 
 
 def test_filter_reads_counts_back():
     rng = np.random.default_rng(2)
-    key = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64)) & np.uint64(0x00FFFFFFFFFFFFFF)
-    level = rng.integers(1, 12, len(key))
-    data, bits = bloom_lm._segment(key, np.ones(len(key), np.int64), level)
-    read = bloom_lm.Filter.of([(0, data, bits)], 1).level(key)
-    assert (read >= level).all() and (read == level).mean() > 0.98
+    key = np.unique(rng.integers(0, 2**63, 40_000).astype(np.uint64)) << np.uint64(1)
+    known, other = key[::2], key[1::2]
+    level = rng.integers(1, 12, len(known))
+    bucket = (known >> np.uint64(62)).astype(int)
+    parts = [(b, bloom_lm._segment(known[bucket == b], level[bucket == b], 12, 1 << 30).tobytes()) for b in range(4)]
+    read = bloom_lm.Filter(parts, 2)
+    assert (read.level(known) >= level).all() and (read.level(known) == level).mean() > 0.97
+    assert (read.level(other) > 0).mean() < 0.03
+    assert (bloom_lm.Filter(parts[:2], 2).level(known[bucket > 1]) == 0).all()
+    tight = bloom_lm.Filter([(b, bloom_lm._segment(known[bucket == b], level[bucket == b], 12, 500).tobytes()) for b in range(4)], 2)
+    assert tight.data.nbytes <= 8 * 2001 and (tight.level(known) >= level).all()
     assert (bloom_lm.TYPICAL[bloom_lm.level_of(np.arange(1, 4))] == np.arange(1, 4)).all()
 
 
+def test_word_table_finds_its_words():
+    rng = np.random.default_rng(4)
+    key = np.unique(rng.integers(0, 2**63, 5_000).astype(np.uint64)) << np.uint64(1)
+    table = bloom_lm.Words(rng.permutation(key[::2]), np.arange(len(key[::2])))
+    place = table.find(key)
+    assert (table.key[place[::2]] == key[::2]).all() and (place[1::2] == -1).all()
+    assert (bloom_lm.Words(np.empty(0, np.uint64), np.empty(0, np.int64)).find(key) == -1).all()
+
+
 def test_bloom_lm_edges(edges, empty):
     rows = bloom_lm.score_texts(edges).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == sorted((i or 0, len(words(t)) + 1) for i, t in EDGES)

@@ -2,24 +2,37 @@
 
 Training texts are counted as words (plus one end a text) and pairs of
 neighbours.  A count is quantised to a level of a geometric scale, and the
-filter holds (n-gram, level) for every level up to it; a count is read back by
-probing level after level until one is missing.  The filter is cut into segments
-by hash, so that each segment is built by one task from its own keys and no
-filters are merged.  Pairs seen once are left to the smoothing.
-
-Probability of a word after another: the pair's discounted share, plus what the
-pairs of a context of that frequency leave over times the smoothed share of the
-word.  Exact word counts, for the add-half base score, are a sorted table; if it
-is larger than ``shard_bytes`` the texts are scored in several passes, each with
-one shard of it, and the sums added.
+filter holds (n-gram, level) for every level up to it, counts of one included;
+a count is read back by probing level after level until one is missing.  The
+filter is blocked: a probe reads one 64-bit word and asks for ``PROBES`` bits of
+it.  It is cut into segments by hash, so that one task builds a segment from its
+own keys and no filters are merged.
+
+Memory is fixed: the filter has ``bits_per_key`` bits for each (n-gram, level),
+and ``filter_bytes`` at most.  A missing pair is read as present with a chance
+of about 1 % at 12 bits a key and 4 % at 8; beyond ``filter_bytes`` fewer bits
+are left for each and the error grows, about 20 % at 4 bits and 60 % at 2.  No
+n-gram is left out.  ``filter_bytes`` is what to raise for larger corpora.
+
+The model interpolates by absolute discounting: a word after another has the
+pair's count less ``delta``, over the context's count, plus the mass so freed
+times the smoothed share of the word.  ``delta`` is n1 / (n1 + 2 n2) of the
+pairs seen once and twice.  The mass follows from the distinct followers of a
+context, summed over all training tokens by the level of the context.
+
+Exact word counts, for the add-half base score, come from a broadcast table of
+at most ``table_words`` words, the most frequent ones.  If there are more, the
+tokens not found are joined with the counts of the other words by shuffle; each
+of these is rare, so no key is hot.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +40,16 @@ from pyspark.sql import functions as F
 from tidemark.llm import hashing
 from tidemark.llm.store import Scratch
 
-BUCKETS = 256
-BITS_PER_KEY = 10
-HASHES = 7
+BITS_PER_KEY = 12
+FILTER_BYTES = 192 << 20
+TABLE_WORDS = 6_000_000
+BUCKET_BYTES = 8 << 20
+PROBES = 4
 SCALE = 1.5
-DISCOUNT = 0.1
-SHARD_BYTES = 128 << 20
+LEVELS = 112
+START_ROW = LEVELS - 1
 FLUSH = 2_000_000
-LEVELS = 100
+MERGE = 4_000_000
 SLICE = 2 << 20
 
 _END = np.uint64(0x2545F4914F6CDD1D)
@@ -67,15 +82,17 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(n + 1)
 
 
-def _pairs(token: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's predecessor and the pair's key, whose 16 low bits are cut off."""
+def _pairs(token: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Key of each token with its predecessor; the 16 low bits are cut off."""
     before = np.empty_like(token)
     before[1:] = token[:-1]
     before[first[:-1]] = _START
-    return before, hashing.mix(before * _LEFT + token * _RIGHT) & np.uint64(0xFFFFFFFFFFFF0000)
+    return hashing.mix(before * _LEFT + token * _RIGHT) & np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     key, n = np.concatenate(keys), np.concatenate(counts)
     if not len(key):
         return key, n
@@ -85,251 +102,354 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[edge], np.add.reduceat(n, edge)
 
 
-def _bucket(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(56)).astype(np.int64)
-
-
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By order and bucket: keys and counts of a stretch of texts."""
-    kept: dict[int, tuple[list, list]] = {1: ([], []), 2: ([], [])}
-    held = {1: 0, 2: 0}
-
-    def flush(order: int) -> Iterator[pa.RecordBatch]:
-        key, n = _merge(*kept[order]) if kept[order][0] else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        kept[order] = ([], [])
-        held[order] = 0
-        edge = np.searchsorted(_bucket(key), np.arange(BUCKETS + 1))
-        some = [b for b in range(BUCKETS) if edge[b] < edge[b + 1]]
-        if not some:
-            return
-        cut = [slice(edge[b], edge[b + 1]) for b in some]
-        if order == 1:
-            low, high = [key[c].tobytes() for c in cut], [b""] * len(cut)
-        else:
-            low = [(key[c] >> np.uint64(16)).astype(np.uint32).tobytes() for c in cut]
-            high = [(key[c] >> np.uint64(48)).astype(np.uint8).tobytes() for c in cut]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([order] * len(cut), pa.int32()), pa.array(some, pa.int32()), pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array([n[c].astype(np.uint32).tobytes() for c in cut], pa.binary())],
-            names=["gram", "bucket", "low", "high", "counts"],
-        )
+def _packed(key: np.ndarray, gram: int) -> bytes:
+    return key.tobytes() if gram == 1 else np.ascontiguousarray((key >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data: bytes, gram: int) -> np.ndarray:
+    if gram == 1:
+        return np.frombuffer(data, np.uint64)
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel() << np.uint64(16)
+
 
-    def add(order: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        kept[order][0].append(key)
-        kept[order][1].append(n)
-        held[order] += len(key)
-        if held[order] >= FLUSH:
-            key, n = _merge(*kept[order])
-            kept[order], held[order] = ([key], [n]), len(key)
-            if len(key) >= FLUSH // 2:
-                yield from flush(order)
+_COUNTS = "bucket int, gram int, ones binary, keys binary, counts binary"
 
-    for whole in batches:
-        for batch in hashing.slices(whole, "text", SLICE):
-            token, first = _tokens(batch.column("text"))
-            _, pair = _pairs(token, first)
-            for order, key in ((1, token), (2, pair)):
-                yield from add(order, *np.unique(key, return_counts=True))
-    for order in (1, 2):
-        yield from flush(order)
 
+def _count_rows(bucket_bits: int):
+    """By bucket and order: the keys seen once, and the others with their counts, of a stretch of texts."""
+    shift, n_buckets = np.uint64(64 - bucket_bits), 1 << bucket_bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple[list, list]] = {1: ([], []), 2: ([], [])}
+        held = {1: 0, 2: 0}
+
+        def flush(gram: int) -> Iterator[pa.RecordBatch]:
+            key, n = _merge(*kept[gram])
+            kept[gram], held[gram] = ([], []), 0
+            edge = np.searchsorted(key >> shift, np.arange(n_buckets + 1, dtype=np.uint64))
+            some = np.flatnonzero(edge[:-1] < edge[1:])
+            for at in range(0, len(some), 1024):
+                rows: list[tuple] = []
+                for b in some[at : at + 1024]:
+                    k, c = key[edge[b] : edge[b + 1]], n[edge[b] : edge[b + 1]]
+                    once = c == 1
+                    rows.append((_packed(k[once], gram), _packed(k[~once], gram), c[~once].astype(np.uint32).tobytes()))
+                columns = [pa.array(x, pa.binary()) for x in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(some[at : at + 1024], pa.int32()), pa.array([gram] * len(rows), pa.int32()), *columns], names=["bucket", "gram", "ones", "keys", "counts"])
+
+        def add(gram: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            kept[gram][0].append(key)
+            kept[gram][1].append(n)
+            held[gram] += len(key)
+            if held[gram] >= FLUSH:
+                key, n = _merge(*kept[gram])
+                kept[gram], held[gram] = ([key], [n]), len(key)
+                if len(key) >= FLUSH // 2:
+                    yield from flush(gram)
+
+        for whole in batches:
+            for batch in hashing.slices(whole, "text", SLICE):
+                token, first = _tokens(batch.column("text"))
+                for gram, key in ((1, token), (2, _pairs(token, first))):
+                    yield from add(gram, *np.unique(key, return_counts=True))
+        for gram in (1, 2):
+            yield from flush(gram)
 
-_COUNTS = "gram int, bucket int, low binary, high binary, counts binary"
+    return run
 
 
-def _probe_places(key: np.ndarray, level: np.ndarray | int, size: np.ndarray) -> Iterator[np.ndarray]:
+def _places(key: np.ndarray, level: np.ndarray | int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word of its segment, and the bits of it, that a key has at a level."""
     h = hashing.mix(key + np.asarray(level, np.uint64) * _LEVEL)
-    step = hashing.mix(h) | np.uint64(1)
-    for i in range(HASHES):
-        yield (h + np.uint64(i) * step) % size
-
-
-def _segment(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[bytes, int]:
-    """A filter of levels ``low`` to ``high`` of each key, and its number of bits."""
-    many = np.maximum(high - low + 1, 0)
-    key = np.repeat(keys, many)
-    level = np.repeat(low, many) + np.arange(len(key)) - np.repeat(np.cumsum(many) - many, many)
-    bits = max(64, -(-len(key) * BITS_PER_KEY // 64) * 64)
-    table = np.zeros(bits, bool)
-    for place in _probe_places(key, level, np.uint64(bits)):
-        table[place] = True
-    return np.packbits(table, bitorder="little").tobytes(), bits
-
-
-def _reduced(rows: pd.DataFrame) -> pd.DataFrame:
-    """One order's bucket: its filter segment, and for words the exact table."""
-    order, bucket = int(rows["gram"].iloc[0]), int(rows["bucket"].iloc[0])
-    keys, counts = [], []
-    for low, high, n in zip(rows["low"], rows["high"], rows["counts"], strict=True):
-        if order == 1:
-            keys.append(np.frombuffer(low, np.uint64))
-        else:
-            keys.append((np.uint64(bucket) << np.uint64(56)) | (np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(48)) | (np.frombuffer(low, np.uint32).astype(np.uint64) << np.uint64(16)))
-        counts.append(np.frombuffer(n, np.uint32).astype(np.int64))
-    key, n = _merge(keys, counts)
-    if order == 1:
-        segment, bits = _segment(key, np.ones(len(key), np.int64), level_of(n))
-        exact = key.tobytes(), n.astype(np.uint32).tobytes() if n.max(initial=0) < 1 << 32 else b""
-        if n.max(initial=0) >= 1 << 32:
-            raise OverflowError("a word occurs more than 2**32 times: widen the exact table")
-    else:
-        often = n >= 2
-        segment, bits = _segment(key[often], np.full(int(often.sum()), 2), level_of(n[often]))
-        exact = b"", b""
-    return pd.DataFrame({"gram": [order], "bucket": [bucket], "distinct": [len(key)], "segment": [segment], "bits": [bits], "words": [exact[0]], "counts": [exact[1]]})
+    bits = np.zeros(len(h), np.uint64)
+    for k in range(PROBES):
+        bits |= np.uint64(1) << ((h >> np.uint64(6 * k)) & np.uint64(63))
+    return ((h >> np.uint64(32)) * size) >> np.uint64(32), bits
 
 
-class Filter:
-    """The segments of one order, ready for probing."""
+def _segment(keys: np.ndarray, high: np.ndarray, bits_per_key: float, most_words: int) -> np.ndarray:
+    """A filter of levels 1 to ``high`` of each key, as 64-bit words."""
+    key = np.repeat(keys, high)
+    level = np.arange(len(key)) - np.repeat(np.cumsum(high) - high, high) + 1
+    size = max(1, min(most_words, round(len(key) * bits_per_key / 64)))
+    table = np.zeros(size, np.uint64)
+    for at in range(0, len(key), MERGE):
+        place, bits = _places(key[at : at + MERGE], level[at : at + MERGE], np.uint64(size))
+        np.bitwise_or.at(table, place, bits)
+    return table
 
-    def __init__(self, data: np.ndarray, start: np.ndarray, bits: np.ndarray, least: int):
-        self.data, self.start, self.bits, self.least = data, start, bits, least
 
-    @classmethod
-    def of(cls, rows: list, least: int) -> Filter:
-        bits, start, parts, at = np.full(BUCKETS, 64, np.uint64), np.zeros(BUCKETS, np.uint64), [b"\0" * 8], 64
-        for bucket, segment, n in rows:
-            bits[bucket], start[bucket] = n, at
-            parts.append(segment)
-            at += n
-        return cls(np.frombuffer(b"".join(parts), np.uint8), start, bits, least)
+_REDUCED = "bucket int, segment binary, words binary, counts binary, n_words long, n_tokens long, n_texts long, once long, twice long, levels array<long>"
+
+
+def _reduce_rows(bits_per_key: float, most_words: int):
+    """From rows sorted by bucket: its filter segment and the exact counts of its words."""
+
+    def done(bucket: int, kept: dict) -> pa.RecordBatch:
+        (word, n), (pair, m) = _merge(*kept[1]), _merge(*kept[2])
+        level = level_of(n)
+        table = _segment(np.concatenate([word, pair]), np.concatenate([level, level_of(m)]), bits_per_key, most_words)
+        row = {
+            "bucket": bucket, "segment": table.tobytes(), "words": word.tobytes(), "counts": n.tobytes(), "n_words": len(word), "n_tokens": int(n.sum()), "n_texts": int(n[word == _END].sum()),
+            "once": int((m == 1).sum()), "twice": int((m == 2).sum()), "levels": np.bincount(level, minlength=LEVELS).tolist(),
+        }
+        return pa.RecordBatch.from_pylist([row], schema=schema)
+
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("segment", "words", "counts")), *((c, pa.int64()) for c in ("n_words", "n_tokens", "n_texts", "once", "twice")), ("levels", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, kept, held = None, {1: ([], []), 2: ([], [])}, 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != bucket:
+                    if bucket is not None:
+                        yield done(bucket, kept)
+                    bucket, kept, held = row["bucket"], {1: ([], []), 2: ([], [])}, 0
+                gram = row["gram"]
+                once, more = _unpacked(row["ones"], gram), _unpacked(row["keys"], gram)
+                kept[gram][0].extend((once, more))
+                kept[gram][1].extend((np.ones(len(once), np.int64), np.frombuffer(row["counts"], np.uint32).astype(np.int64)))
+                held += len(once) + len(more)
+                if held >= MERGE:
+                    kept = {g: tuple([x] for x in _merge(*kept[g])) for g in kept}
+                    held = 0
+        if bucket is not None:
+            yield done(bucket, kept)
+
+    return run
+
+
+class Filter:
+    """The segments of all buckets, ready for probing."""
+
+    def __init__(self, segments: list[tuple[int, bytes]], bucket_bits: int):
+        self.shift = np.uint64(64 - bucket_bits)
+        self.size, self.start = np.ones(1 << bucket_bits, np.uint64), np.zeros(1 << bucket_bits, np.uint64)
+        parts, at = [np.zeros(1, np.uint64)], 1  # an absent bucket reads the empty word
+        for bucket, data in sorted(segments):
+            part = np.frombuffer(data, np.uint64)
+            self.size[bucket], self.start[bucket] = len(part), at
+            parts.append(part)
+            at += len(part)
+        self.data = np.concatenate(parts)
 
     def level(self, key: np.ndarray) -> np.ndarray:
         """The highest level reached without a gap, by repeated probes; 0 if the first is missing."""
         found = np.zeros(len(key), np.int64)
-        live, level = np.arange(len(key)), self.least
-        while len(live):
-            bucket = _bucket(key[live])
-            h = hashing.mix(key[live] + np.array([level], np.uint64) * _LEVEL)
-            step, bits, start = hashing.mix(h) | np.uint64(1), self.bits[bucket], self.start[bucket]
-            for i in range(HASHES):
-                place = start + (h + np.uint64(i) * step) % bits
-                hit = (self.data[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                if not hit.all():
-                    live, h, step, bits, start = live[hit], h[hit], step[hit], bits[hit], start[hit]
+        bucket = (key >> self.shift).astype(np.int64)
+        live, start, size = np.arange(len(key)), self.start[bucket], self.size[bucket]
+        for level in range(1, START_ROW):
+            place, bits = _places(key, level, size)
+            hit = (self.data[start + place] & bits) == bits
+            live, key, start, size = live[hit], key[hit], start[hit], size[hit]
+            if not len(live):
+                break
             found[live] = level
-            level += 1
         return found
 
 
-def _share_rows(word_filter, pair_filter):
-    """Tokens and repeated-pair tokens by the level of the context."""
+class Words:
+    """Exact counts of words: sorted hashes with an index by their leading bits."""
+
+    def __init__(self, key: np.ndarray, count: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.count = key[order], count[order]
+        bits = max(1, int(len(key)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.key >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Place of each key in ``key``, -1 if absent."""
+        found = np.full(len(key), -1, np.int64)
+        lead = (key >> self.shift).astype(np.int64)
+        live, at, end = np.arange(len(key)), self.first[lead].astype(np.int64), self.first[lead + 1]
+        while len(live):
+            inside = at < end
+            live, at, end = live[inside], at[inside], end[inside]
+            here, mine = self.key[at], key[live]
+            same = here == mine
+            found[live[same]] = at[same]
+            more = here < mine
+            live, at, end = live[more], at[more] + 1, end[more]
+        return found
+
+
+@dataclass
+class Reader:
+    """What a worker reads counts from; the levels of the table's words are probed once a process."""
+
+    filter: Filter
+    words: Words
+    levels: np.ndarray
+
+    @classmethod
+    def of(cls, token: str, filter_, words) -> Reader:
+        if token not in _READERS:
+            _READERS.clear()
+            f, w = filter_.value, words.value
+            levels = np.concatenate([f.level(w.key[i : i + MERGE]) for i in range(0, len(w.key), MERGE)]) if len(w.key) else np.empty(0, np.int64)
+            _READERS[token] = cls(f, w, levels.astype(np.uint8))
+        return _READERS[token]
+
+    def of_words(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the table (-1: not in it) and filter level of each token."""
+        place = self.words.find(token)
+        level = self.levels[np.maximum(place, 0)].astype(np.int64) if len(self.levels) else np.zeros(len(token), np.int64)
+        away = np.flatnonzero(place < 0)
+        level[away] = self.filter.level(token[away])
+        return place, level
+
+
+_READERS: dict[str, Reader] = {}
+
+
+def _context_levels(level: np.ndarray, first: np.ndarray) -> np.ndarray:
+    out = np.empty_like(level)
+    out[1:] = level[:-1]
+    out[first[:-1]] = START_ROW
+    return out
+
+
+def _follower_rows(token_: str, filter_, words):
+    """Tokens, and distinct pairs as far as their counts say, by the level of the context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = Filter(*word_filter.value), Filter(*pair_filter.value)
-        table = np.zeros((2, LEVELS), np.int64)
+        reader = Reader.of(token_, filter_, words)
+        table = np.zeros((2, LEVELS))
         for whole in batches:
             for batch in hashing.slices(whole, "text", SLICE):
                 token, first = _tokens(batch.column("text"))
-                before, pair = _pairs(token, first)
-                pair, at, n = np.unique(pair, return_index=True, return_counts=True)
-                before, back = np.unique(before[at], return_inverse=True)
-                level = words.level(before)[back]
-                again = pairs.level(pair) > 0
-                table[0] += np.bincount(level, n, minlength=LEVELS).astype(np.int64)
-                table[1] += np.bincount(level[again], n[again], minlength=LEVELS).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS)), pa.array(table[0]), pa.array(table[1])], names=["level", "n", "again"])
+                context = _context_levels(reader.of_words(token)[1], first)
+                count = TYPICAL[reader.filter.level(_pairs(token, first))]
+                table[0] += np.bincount(context, minlength=LEVELS)
+                table[1] += np.bincount(context, 1 / np.maximum(count, 1), minlength=LEVELS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS)), pa.array(table[0]), pa.array(table[1])], names=["level", "n", "distinct"])
 
     return run
 
 
-def _score_rows(word_filter, pair_filter, shard, share: np.ndarray, n_tokens: int, n_types: int, n_texts: int, model: bool, low: int, high: int):
-    names = ["doc_id", "text_hash", "held_out", "n_tokens", "known", "base", "score"]
+@dataclass
+class Model:
+    """Totals of the training texts and the back-off mass by the level of the context."""
+
+    n_tokens: int
+    n_types: int
+    n_texts: int
+    delta: float
+    mass: np.ndarray
+
+    @property
+    def total(self) -> float:
+        return self.n_tokens + 0.5 * (self.n_types + 1)
+
+    def log10(self, level: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """log10 p of tokens of a level after a context's level, with their pair's level."""
+        single = (TYPICAL[level] + 0.5) / self.total
+        count = np.where(context == START_ROW, float(self.n_texts), TYPICAL[context])
+        known = count > 0
+        share = np.where(known, np.maximum(np.minimum(TYPICAL[pair], count) - self.delta, 0.0) / np.maximum(count, 1.0), 0.0)
+        return np.log10(np.minimum(share + np.where(known, self.mass[context], 1.0) * single, 1.0))
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, rare_n array<int>"
+
+
+def _score_rows(token_: str, filter_, words, model: Model, whole_table: bool):
+    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "rare_n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shard.value
-        words, pairs = Filter(*word_filter.value), Filter(*pair_filter.value)
-        total = np.log10(n_tokens + 0.5 * (n_types + 1))
+        reader = Reader.of(token_, filter_, words)
+        counts = reader.words.count
+        total = np.log10(model.total)
         for whole in batches:
             for batch in hashing.slices(whole, "text", SLICE):
                 token, first = _tokens(batch.column("text"))
-                owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
-                kind, back = np.unique(token, return_inverse=True)
-                mine = (_bucket(kind) >= low) & (_bucket(kind) < high)
-                c = np.zeros(len(kind), np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, kind), len(keys) - 1)
-                    c = np.where(keys[at] == kind, counts[at], 0)
-                base = np.where(mine, np.log10(c + 0.5) - total, 0.0)
-                known = np.bincount(owner, (c > 0)[back], minlength=batch.num_rows).astype(np.int64)
-                base = np.bincount(owner, base[back], minlength=batch.num_rows)
-                score = np.zeros(batch.num_rows)
-                if model:
-                    level = words.level(kind)
-                    single = (TYPICAL[level] + 0.5) / (n_tokens + 0.5 * (n_types + 1))
-                    before, pair = _pairs(token, first)
-                    pair, at, where = np.unique(pair, return_index=True, return_inverse=True)
-                    pair_count = TYPICAL[pairs.level(pair)]
-                    context, inverse = np.unique(before[at], return_inverse=True)
-                    start = context == _START
-                    context_level = np.where(start, level_of(np.array([n_texts]))[0], words.level(context))
-                    context_count = np.where(start, n_texts, TYPICAL[context_level])[inverse]
-                    left = 1 - (1 - DISCOUNT) * share[context_level][inverse]
-                    ratio = np.where(context_count > 0, np.minimum(1.0, pair_count / np.maximum(context_count, 1)), 0.0)
-                    p = (1 - DISCOUNT) * ratio + np.where(context_count > 0, left, 1.0) * single[back[at]]
-                    score = np.bincount(owner, np.log10(np.minimum(p, 1.0))[where], minlength=batch.num_rows)
+                n = batch.num_rows
+                owner = np.repeat(np.arange(n), np.diff(first))
+                place, level = reader.of_words(token)
+                c = counts[np.maximum(place, 0)] * (place >= 0) if len(counts) else np.zeros(len(token), np.int64)
+                base = np.where((place >= 0) | whole_table, np.log10(c + 0.5) - total, 0.0)
+                logs = model.log10(level, _context_levels(level, first), reader.filter.level(_pairs(token, first)))
+                rare, many, start = np.empty(0, np.int64), np.empty(0, np.int32), np.zeros(n + 1, np.int32)
+                if not whole_table:
+                    away = np.flatnonzero(place < 0)
+                    each = np.stack([owner[away].astype(np.uint64), token[away]], axis=1)
+                    pair, many = np.unique(each, axis=0, return_counts=True) if len(each) else (np.empty((0, 2), np.uint64), many)
+                    start = np.searchsorted(pair[:, 0], np.arange(n + 1, dtype=np.uint64)).astype(np.int32)
+                    rare, many = np.ascontiguousarray(pair[:, 1]).view(np.int64), many.astype(np.int32)
+                sums = [np.bincount(owner, x, minlength=n) for x in (c > 0, base, logs)]
+                lists = [pa.ListArray.from_arrays(pa.array(start), pa.array(x)) for x in (rare, many)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text_hash"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(score)], names=names
+                    [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *lists], names=names
                 )
 
     return run
 
 
-def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _exact_rows(least: int, below: bool):
+    """``(word, n)`` of the words whose count has a level of ``least`` or more, or (``below``) a lower one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                word, n = np.frombuffer(row["words"], np.int64), np.frombuffer(row["counts"], np.int64)
+                some = (level_of(n) < least) if below else (level_of(n) >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(word[some]), pa.array(n[some])], names=["word", "n"])
+
+    return run
+
+
+def score_texts(docs: DataFrame, table_words: int = TABLE_WORDS, filter_bytes: int = FILTER_BYTES, bits_per_key: float = BITS_PER_KEY) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row of ``docs(doc_id, text)``.
 
     Texts whose crc32 of doc_id (as text, null as empty) mod 5 is 1 are held out
-    of the counts.  A null text counts as empty, which is one end.  Repeated rows
-    each come back; other columns are ignored.
+    of the counts.  A null or blank text is one end; a text of any length is
+    scored whole, some megabytes at a time go through a worker's arrays unless a
+    single text is longer.  Repeated rows each come back; other columns are
+    ignored; of an empty table an empty one is made, without training texts every
+    token scores as unseen.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "bloom-lm")
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
     training = rows.filter("not held_out").select("text")
-    counted = training.mapInArrow(_count_rows, _COUNTS)
-    reduced = counted.groupBy("gram", "bucket").applyInPandas(_reduced, "gram int, bucket int, distinct long, segment binary, bits long, words binary, counts binary")
-    reduced = scratch.table(reduced, "reduced")
-    size = training.select(_n_tokens("text").alias("n")).agg(F.sum("n").alias("tokens"), F.count("*").alias("texts")).first()
-    n_tokens, n_texts = int(size["tokens"] or 0), int(size["texts"])
-
-    filters, sizes = {}, {}
-    for order, least in ((1, 1), (2, 2)):
-        found = reduced.filter(F.col("gram") == order).select("bucket", "segment", "bits", "distinct").orderBy("bucket").collect()  # the filter itself
-        filters[order] = Filter.of([(r["bucket"], r["segment"], r["bits"]) for r in found], least)
-        sizes[order] = {r["bucket"]: r["distinct"] for r in found}
-    n_types = sum(sizes[1].values())
-    shared = {o: spark.sparkContext.broadcast((f.data, f.start, f.bits, f.least)) for o, f in filters.items()}
-    shares = training.mapInArrow(_share_rows(shared[1], shared[2]), "level long, n long, again long").groupBy("level").agg(F.sum("n").alias("n"), F.sum("again").alias("again")).collect()
-    share = np.zeros(LEVELS)
-    for r in shares:
-        share[r["level"]] = r["again"] / r["n"] if r["n"] else 0.0
-
-    cuts, held = [0], 0
-    for b in range(BUCKETS):
-        held += 12 * sizes[1].get(b, 0)
-        if held > shard_bytes and b > cuts[-1]:
-            cuts.append(b)
-            held = 12 * sizes[1].get(b, 0)
-    cuts.append(BUCKETS)
-    passes = []
-    for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        exact = reduced.filter((F.col("gram") == 1) & F.col("bucket").between(low, high - 1)).select("words", "counts").orderBy("bucket").collect()  # one shard
-        table = np.frombuffer(b"".join(r["words"] for r in exact), np.uint64), np.frombuffer(b"".join(r["counts"] for r in exact), np.uint32)
-        run = _score_rows(shared[1], shared[2], spark.sparkContext.broadcast(table), share, n_tokens, n_types, n_texts, k == 0, low, high)
-        passes.append(rows.select("doc_id", "text_hash", "held_out", "text").mapInArrow(run, "doc_id long, text_hash long, held_out boolean, n_tokens long, known long, base double, score double"))
-    if len(passes) == 1:
-        scored = passes[0]
-    else:
-        parts = [scratch.table(p.withColumn("shard", F.lit(k)), "pass") for k, p in enumerate(passes)]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionAll(p)
-        copies = F.sum(F.when(F.col("shard") == 0, 1).otherwise(0))
-        scored = every.groupBy("doc_id", "text_hash", "held_out").agg(
-            F.max("n_tokens").alias("n_tokens"), (F.sum("known") / copies).cast("long").alias("known"), (F.sum("base") / copies).alias("base"), F.min(F.when(F.col("shard") == 0, F.col("score"))).alias("score"), copies.cast("int").alias("copies")
-        ).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return scored.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
-
-
-def _n_tokens(text: str) -> F.Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
+    n_bytes = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bucket_bits = min(16, max(6, (n_bytes // BUCKET_BYTES).bit_length()))
+    counted = training.mapInArrow(_count_rows(bucket_bits), _COUNTS).repartition("bucket").sortWithinPartitions("bucket")
+    reduced = scratch.table(counted.mapInArrow(_reduce_rows(bits_per_key, max(1, filter_bytes // 8 >> bucket_bits)), _REDUCED), "reduced")
+
+    sums = reduced.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_texts", "once", "twice")]).first()
+    by_level = {r["level"]: r["n"] for r in reduced.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()}  # LEVELS rows
+    least, held = LEVELS, 0
+    while least > 0 and held + by_level.get(least - 1, 0) <= table_words:
+        least -= 1
+        held += by_level.get(least, 0)
+    exact = reduced.select("words", "counts").mapInArrow(_exact_rows(least, False), "word long, n long").toArrow()  # table_words rows at most
+    n = exact["n"].to_numpy()
+    words = spark.sparkContext.broadcast(Words(exact["word"].to_numpy().view(np.uint64), n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n))
+    del exact, n
+    found = reduced.select("bucket", "segment").toArrow()  # the filter itself, filter_bytes at most
+    filter_ = spark.sparkContext.broadcast(Filter(list(zip(found["bucket"].to_pylist(), found["segment"].to_pylist(), strict=True)), bucket_bits))
+    del found
+    token = uuid.uuid4().hex
+
+    followers = training.mapInArrow(_follower_rows(token, filter_, words), "level long, n double, distinct double").groupBy("level").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).collect()
+    delta = sums["once"] / (sums["once"] + 2 * sums["twice"]) if sums["once"] else 0.5
+    mass = np.ones(LEVELS)
+    for r in followers:
+        mass[r["level"]] = delta * r["distinct"] / r["n"] if r["n"] else 1.0
+    model = Model(int(sums["n_tokens"]), int(sums["n_words"]), int(sums["n_texts"]), delta, mass)
+    scored = rows.select("doc_id", "held_out", "text").mapInArrow(_score_rows(token, filter_, words, model, least == 0), _SCORED)
+    if least > 0:
+        scored = scratch.table(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+        tokens = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("k"))
+        others = reduced.select("words", "counts").mapInArrow(_exact_rows(least, True), "word long, n long")
+        c = F.coalesce("n", F.lit(0))
+        added = tokens.join(others, "word", "left").groupBy("row").agg(
+            F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * (F.log10(c + 0.5) - F.lit(float(np.log10(model.total))))).alias("more_base")
+        )
+        scored = scored.join(added, "row", "left").withColumns({"known": F.col("known") + F.coalesce("more_known", F.lit(0)), "base": F.col("base") + F.coalesce("more_base", F.lit(0.0))})
+    return scored.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
