@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import bloom_lm, decontaminate, hashing, line_dedup, mixing, ngram_join, pii, quality
+from tidemark.llm import bloom_lm, decontaminate, hashing, line_dedup, mixing, ngram_join, pii, quality, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, h long, n long, copies string"
 LONG = "lorem ipsum dolor " * 20_000
@@ -274,14 +276,89 @@ def test_pii_base_equals_regex(spark):
         assert all(s["value"] == t[s["start"] : s["end"]] for s in [*r.base, *r.found])
 
 
+def spans_of(row, source="found"):
+    return [(s["kind"], s["value"]) for s in row[source]]
+
+
 def test_pii_bootstraps_unseen_identifiers(spark):
-    known = [(i, f"please write to contact mail: user{i}@host{i}.org today") for i in range(30)]
-    hidden = (99, "please write to contact mail: someone.9@localhost today, room 12345678 is free")
-    out = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame([*known, hidden], "doc_id long, text string")).collect()}
-    assert all(len(out[i].base) == 1 and not out[i].found for i in range(30))
-    assert [s["kind"] for s in out[99].base] == []
-    patterned = spark.createDataFrame([*((i, f"call the number 555-01{i:02d}-777{i:02d} or +1 555 01{i:02d} 777{i:02d} now") for i in range(9))], "doc_id long, text string")
-    assert pii.personal_data(patterned).count() == 9
+    rows = [
+        *((i, f"please write to contact mail: user{i}@host{i}.org today") for i in range(30)),
+        *((100 + i, f"for help ring me on +1 (974) 555-34{i:02d} tonight") for i in range(30)),
+        *((200 + i, f'config holds access token = "{i:02d}ab34cd56ef7890ab{i:02d}" since then') for i in range(10)),
+        (300, "please write to contact mail: someone.9@localhost today, room 12345678 is free"),
+        (301, "for help ring me on 0800-555-0199 tonight"),
+        (302, "for help ring me on 0800 555 0198 tonight"),
+        (303, 'config holds access token = "zz99yy" since then'),
+        (304, "someone.9@otherhost 0800-555-0777 and 12345678 stand alone here, token or not"),
+    ]
+    out = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert all(len(out[i].base) == 1 and not out[i].found for i in [*range(30), *range(100, 130)])
+    assert all(spans_of(out[200 + i]) == [("secret", f"{i:02d}ab34cd56ef7890ab{i:02d}")] for i in range(10))
+    assert {i: spans_of(out[i]) for i in range(300, 305)} == {
+        300: [("email", "someone.9@localhost")], 301: [("phone", "0800-555-0199")], 302: [("phone", "0800 555 0198")], 303: [("secret", "zz99yy")], 304: [],
+    }
+    assert all(not out[i].base for i in range(300, 305))
+    assert all(s["value"] == texts[i][s["start"] : s["end"]] for i in out for s in out[i].found)
+
+
+def test_pii_rounds_reach_patterns_without_seeds(spark):
+    """A value only seen after ``dial this`` is found through values that ``ring me on`` made believed."""
+    rows = [
+        *((i, f"for help ring me on +1 (974) 555-34{i:02d} tonight") for i in range(60)),
+        *((100 + i, f"for help ring me on 0800-77{i:02d} tonight") for i in range(12)),
+        *((200 + i, f"you may dial this 0800-77{i:02d} instead") for i in range(12)),
+        (300, "you may dial this 0900-5555 instead"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {n: {r.doc_id: spans_of(r) for r in pii.personal_data(docs, rounds=n).collect()} for n in (1, 3)}
+    assert found[1][300] == [] and found[1][100] == [("phone", "0800-7700")]
+    assert found[3][300] == [("phone", "0900-5555")] and found[3][205] == [("phone", "0800-7705")]
+
+
+def test_pii_confidence_equals_brute_force(spark):
+    rng = random.Random(6)
+    edges = {(f"p{rng.randrange(12)}", f"v{rng.randrange(60)}") for _ in range(260)}
+    seed = {f"v{i}": rng.choice(("email", "phone")) for i in range(0, 60, 2)}
+    rows = [(p, v, seed.get(v, "")) for p, v in sorted(edges)]
+    got = pii.score_patterns(spark.createDataFrame(rows, "pattern string, value string, kind string"), pii.Scratch(spark, "t"), 4, 0.3, 2).collect()
+    width = collections.Counter(p for p, _ in edges)
+    belief, kept = {(v, k): 1.0 for v, k in seed.items()}, {}
+    for _ in range(4):
+        mass = collections.Counter()
+        for p, v in edges:
+            for k in ("email", "phone"):
+                if (v, k) in belief:
+                    mass[p, k] += belief[v, k]
+        kept = {(p, k): m / (width[p] + 0.5) for (p, k), m in mass.items() if m >= 2 and m / (width[p] + 0.5) >= 0.3}
+        belief = {(v, k): 1.0 for v, k in seed.items()}
+        for p, v in edges:
+            for k in ("email", "phone"):
+                if (p, k) in kept:
+                    belief[v, k] = max(belief.get((v, k), 0.0), kept[p, k])
+    assert kept and {(r.pattern, r.kind): pytest.approx(r.conf) for r in got} == kept
+
+
+def test_pii_long_texts_take_linear_time(spark):
+    many = " ".join(f"user{i}@host{i % 97}.org" for i in range(20_000))
+    texts = ["ab" * 1_500_000, "12" * 500_000, "a" * 1_000_000 + "1", "a@" * 250_000, "1." * 100_000, "+1 " * 100_000, many]
+    began = time.time()
+    out = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.time() - began < 60
+    assert len(out[6].base) == 20_000 and all(s["value"] == many[s["start"] : s["end"]] for s in out[6].base)
+    assert len(out[4].base) == 25_000 and not out[0].base and not out[0].found
+
+
+def test_pii_query_digest(spark, tmp_path):
+    """Counts, hash and joined spans of the registered query, from plain regular expressions."""
+    texts = [None, "", "é a@b.cc, 10.0.0.1 and +1 (835) 555-0199; 4785 3805-9239 1138 or 5500000000000004", "999.1.1.1 only", "+44 20 7946 0958 x@y.z"]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op4_pii(spark, str(tmp_path)).collect():
+        t = texts[r.doc_id] or ""
+        want = sorted((m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(KINDS) for m in re.finditer(p, t) if valid(kind, m.group()))
+        joined = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans == joined
+        assert [r[f"n_{kind}"] for kind, _ in KINDS] == [sum(w[3] == kind for w in want) for kind, _ in KINDS] and r.n_spans == len(want)
 
 
 def test_pii_edges(edges, empty):
