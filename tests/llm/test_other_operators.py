@@ -37,6 +37,58 @@ def test_embedding_dedup_equals_brute_force(spark):
     assert len({got[i].component_id for i in range(600, 640)} | {got[5].component_id}) == 1
 
 
+@pytest.mark.parametrize("part", [1024, 16])
+def test_embedding_counts_in_wide_and_dense_components(spark, part):
+    """Chains, tight groups and repeated ids; small parts take the path of large components."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((400, 32))
+    x[100:160] = x[3] + 0.02 * rng.standard_normal((60, 32))  # tight: all linked
+    for i in range(200, 290):  # a chain: neighbours linked, ends not
+        x[i] = x[i - 1] + 0.2 * rng.standard_normal(32)
+    x[300:340] = x[7] + 0.15 * rng.standard_normal((40, 32))
+    x[350:356] = x[9]
+    ids = list(range(400))
+    ids[355], ids[354] = 350, 9
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>"), block=64, part=part).collect())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = np.arange(400)
+    while (new := np.minimum(label, np.where(near, label[None, :], 400).min(axis=1))).tolist() != label.tolist():
+        label = new
+    low = {c: min(ids[i] for i in range(400) if label[i] == c) for c in set(label.tolist())}
+    assert got == sorted((ids[i], int(near[i].sum()), low[label[i]], ids[i] == low[label[i]]) for i in range(400))
+
+
+def test_embedding_repeated_ids_keep_their_own_links(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+@pytest.mark.parametrize("n", [4_000, 24_000])
+def test_embedding_recall_of_lone_pairs_at_the_threshold(spark, n):
+    """Production parameters: pairs at cosine 0.95 to 0.96 that have no other partner."""
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    half = n // 8
+    side = rng.standard_normal((half, 64))
+    side -= (side * x[:half]).sum(axis=1, keepdims=True) * x[:half]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9505, 0.96, (half, 1))
+    x[half : 2 * half] = cosine * x[:half] + np.sqrt(1 - cosine**2) * side
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(rows).collect()}
+    found = sum(out[half + i] == (1, i) for i in range(half))
+    assert found >= 0.97 * half and all(out[i] == (0, i) for i in range(2 * half, n))
+
+
+def test_passes_follow_the_number_of_vectors():
+    passes = [embed_dedup.passes_for(n) for n in (0, 1, 10**3, 10**5, 10**7, 10**9)]
+    assert passes == sorted(passes) and passes[0] == 8 and passes[-1] > 40
+
+
 def test_embedding_edges(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, float("nan")]), (5, [1.0, None]), (6, [1.0, float("inf")]), (7, [1.0, 2.0]), (8, [1.0, 2.0]), (8, [1.0, 2.0]), (9, [2.0, 4.0]), (10, [1.0, 2.0, 0.0]), (None, [1.0, 2.0]), (11, [1e-30, 2e-30])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, n_links int")
