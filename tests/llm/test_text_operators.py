@@ -96,8 +96,8 @@ def brute_components(pairs):
     return {d: find(d) for d in ids}
 
 
-@pytest.mark.parametrize("chunk", [4000, 3])
-def test_ngram_join_equals_brute_force(spark, texts, chunk):
+@pytest.mark.parametrize(("chunk", "elements"), [(4000, 2_000_000), (3, 2_000_000), (4000, 300)])
+def test_ngram_join_equals_brute_force(spark, texts, chunk, elements):
     rng = random.Random(9)
     rows = list(enumerate(texts))
     base = texts[7].split()
@@ -105,7 +105,7 @@ def test_ngram_join_equals_brute_force(spark, texts, chunk):
         copy = list(base)
         copy[rng.randrange(len(copy))] = f"new{i}"
         rows.append((i, " ".join(copy)))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk, elements=elements).collect()}
     want = brute_components((i, sets_of(t)) for i, t in rows)
     assert got == {i: (len(sets_of(t)), want[i]) for i, t in rows}
 
@@ -130,6 +130,25 @@ def test_trie_equals_pairs():
     assert {i: find(i) for i in range(60)} == want
 
 
+def test_ngram_join_judges_texts_of_one_id_apart(spark, texts):
+    one, two, other = texts[2], texts[3], texts[4]
+    changed = " ".join([*one.split()[:-1], "changed"])
+    rows = [(1, one), (1, one), (2, two), (3, one), (3, other), (4, changed), (None, one), (5, ""), (5, ""), (6, None), (None, "some words of its own here")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, t int")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.jaccard_components(docs).collect())
+    n = lambda t: len(sets_of(t))
+    assert got == sorted([(1, n(one), 1), (1, n(one), 1), (2, n(two), 2), (3, n(one), 1), (3, n(other), 3), (4, n(changed), 1), (0, n(one), 1), (5, 0, 5), (5, 0, 5), (6, 0, 6), (0, 2, 0)])
+    left = ngram_join.without_near_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, one), (2, two), (3, other), (5, ""), (5, ""), (6, None), (None, rows[-1][1])], key=str)
+    assert ngram_join.without_near_copies(docs.limit(0)).count() == 0
+
+
+def test_without_near_copies_keeps_one_of_each_group(docs, texts):
+    kept = {r.doc_id for r in ngram_join.without_near_copies(docs).collect()}
+    assert kept == set(brute_components((i, sets_of(t)) for i, t in enumerate(texts)).values())
+
+
 def test_ngram_join_edges(edges, empty):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(edges).collect())
     assert got == [(0, 2, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 3, 5), (6, 1, 4), (7, 1, 7)]

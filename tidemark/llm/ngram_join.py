@@ -17,7 +17,7 @@ work has three steps:
    that the remaining lengths leave and subtrees already linked to the probe.
 
 No set is capped and no pair is listed: a group yields spanning links only.
-Candidate groups above ``chunk`` sets are cut into chunks; components of chunks
+Candidate groups above ``chunk`` sets or ``elements`` elements are cut into chunks; components of chunks
 are joined through leaders first, and then every set outside the group's largest
 component is compared with all chunks, which covers every remaining pair.
 """
@@ -41,9 +41,12 @@ from tidemark.llm.store import Scratch
 
 PERCENT = 80
 WIDTH = 5
-CHUNK = 4000
-GROUP_SETS = 1000
+CHUNK = 1000
+ELEMENTS = 2_000_000
+GROUP_SETS = 250
+GROUP_ELEMENTS = 1_000_000
 BROADCAST_ROWS = 2_000_000
+BROADCAST_ELEMENTS = 1_000_000
 _BITS = np.uint64((1 << 55) - 1)
 _ID_BITS = (1 << 47) - 1
 
@@ -53,7 +56,7 @@ def _least_overlap(n: int, percent: int) -> int:
 
 
 def _set_rows(percent: int, width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -77,48 +80,53 @@ def _set_rows(percent: int, width: int):
                         prefix = (grams[:size] >> np.uint64(9)).astype(np.int64)
                     out.append((n, d1, d2, prefix))
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, schema.types[1:], strict=True))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *(pa.array(c, t) for c, t in zip(columns, schema.types[2:], strict=True))], schema=schema)
 
     return run
 
 
 def _full_rows(width: int):
-    schema = pa.schema([("rep", pa.int64()), ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([("cls", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in hashing.slices(whole, "text"):
                 word, first = hashing.word_hashes(batch.column("text"))
                 grams = [hashing.shingles(word[first[i] : first[i + 1]], width).view(np.int64) for i in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(grams, schema.types[1])], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(grams, schema.types[1])], schema=schema)
 
     return run
 
 
-def _held(rows: DataFrame) -> DataFrame:
-    """(h, d, df) of the elements ``rows(h, d)`` that more than one set holds."""
-    same = Window.partitionBy("h")
-    counted = rows.withColumns({"low": F.min("d").over(same), "high": F.max("d").over(same), "df": F.count("*").over(same)})
-    return counted.filter("low < high").groupBy("h", "d").agg(F.max("df").alias("df"))
+def _held(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, d, df) of the elements ``rows(h, d)`` that more than one set holds.
+
+    Elements are aggregated before they meet, and joined back to their sets: a very
+    common one is a single row on its side, and Spark splits its sets.
+    """
+    shared = rows.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("df")).filter("low < high").select("h", "df")
+    shared = scratch.table(shared, "shared")
+    return rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_ELEMENTS else shared, "h")
 
 
-def _leaders(state: DataFrame, chunk: int) -> DataFrame:
+def _leaders(state: DataFrame, chunk: int, elements: int) -> DataFrame:
     """One set of the largest component of every chunk, all of a group together."""
-    count = state.groupBy("cc", "part", "component").agg(F.count("*").alias("c"), F.min("rep").alias("rep"))
-    return count.groupBy("cc", "part").agg(F.max_by("rep", F.struct("c", "rep")).alias("rep")).select("cc", F.lit("leaders").alias("part"), "rep")
+    count = state.groupBy("cc", "part", "component").agg(F.count("*").alias("c"), F.min("cls").alias("cls"))
+    return count.groupBy("cc", "part").agg(F.max_by("cls", F.struct("c", "cls")).alias("cls")).select("cc", F.lit("leaders").alias("part"), "cls")
 
 
-def _rest(state: DataFrame, chunk: int) -> DataFrame:
+def _rest(state: DataFrame, chunk: int, elements: int) -> DataFrame:
     """Every set outside its group's largest component, in blocks, with every chunk of the group."""
     count = state.groupBy("cc", "component").agg(F.count("*").alias("c"))
     main = count.groupBy("cc").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("cc", F.col("top.component").alias("main"))
     still = state.join(main, "cc")
-    rest = still.filter("component <> main").select("cc", "rep")
-    blocks = still.select("cc", "part").distinct().join(rest.groupBy("cc").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n_blocks")), "cc")
+    rest = still.filter("component <> main").select("cc", "cls", "n")
+    n_blocks = rest.groupBy("cc").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / elements)).cast("int").alias("n_blocks"))
+    blocks = still.select("cc", "part").distinct().join(n_blocks, "cc")
     blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     tag = F.concat_ws(":", "part", "block").alias("part")
-    every = still.select("cc", "part", "rep").join(blocks, ["cc", "part"]).select("cc", tag, "rep")
-    other = rest.join(blocks, "cc").filter(F.pmod(F.xxhash64("rep"), "n_blocks") == F.col("block")).select("cc", tag, "rep")
+    every = still.select("cc", "part", "cls").join(blocks, ["cc", "part"]).select("cc", tag, "cls")
+    other = rest.join(blocks, "cc").filter(F.pmod(F.xxhash64("cls"), "n_blocks") == F.col("block")).select("cc", tag, "cls")
     return every.unionAll(other)
 
 
@@ -205,67 +213,103 @@ def _group_links(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         for _, group in rows.groupby(["cc", "part"], sort=False):
-            group = group.drop_duplicates("rep")
-            ids = group["rep"].tolist()
+            group = group.drop_duplicates("cls")
+            ids = group["cls"].tolist()
             found += [(ids[i], ids[j]) for i, j in trie_links(group["grams"].tolist(), percent)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, chunk: int = CHUNK) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
-
-    Rows link when ``100 * |A & B| >= percent * |A | B|`` of their shingle sets;
-    component_id is the smallest doc_id reachable.  Null and blank texts have
-    the empty set and link with nothing; texts of fewer than ``width`` words are
-    one shingle.  Repeated rows each come back; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.table(docs.mapInArrow(_set_rows(percent, width), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "sets")
-    classes = scratch.table(sets.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+def _grouped(docs: DataFrame, percent: int, width: int, chunk: int, elements: int, scratch: Scratch) -> DataFrame:
+    """``(doc_id, t, n, component)`` of every row; t is the hash of the text, component null for the empty set."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    sets = scratch.table(docs.mapInArrow(_set_rows(percent, width), "doc_id long, t long, n long, d1 long, d2 long, prefix array<long>"), "sets")
+    # Equal sets are one class; its texts may share a doc_id with texts of other classes.
+    classes = sets.filter("d1 is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "t")).alias("one"), F.max("n").alias("n"))
+    classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     short = F.col("d1").bitwiseAND(F.lit(_ID_BITS))
 
     # 1. Prefixes in hash order: sets that share too few elements with others can't link.
-    held = _held(sets.filter("prefix is not null").select(F.explode("prefix").alias("h"), short.alias("d")))
+    held = _held(sets.filter("prefix is not null").select(F.explode("prefix").alias("h"), short.alias("d")), scratch)
     least = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) / 10))
-    per_class = classes.withColumn("d", short)
-    alive = held.groupBy("d").agg(F.count("*").alias("s")).join(per_class, "d").filter(F.col("s") >= least).select("rep")
-    alive = scratch.table(alive, "alive")
-    texts = docs.withColumnRenamed("doc_id", "rep")
-    chosen = texts.join(F.broadcast(alive) if alive.count() <= BROADCAST_ROWS else alive, "rep").dropDuplicates(["rep"])
-    full = scratch.table(chosen.mapInArrow(_full_rows(width), "rep long, grams array<long>"), "full")
+    alive = held.distinct().groupBy("d").agg(F.count("*").alias("s")).join(classes.withColumn("d", short), "d").filter(F.col("s") >= least).select("cls", "one.doc_id", "one.t")
+    alive = scratch.table(alive.select("cls", F.col("doc_id").alias("_id"), F.col("t").alias("_t")), "alive")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
+    chosen = docs.join(F.broadcast(alive) if alive.count() <= BROADCAST_ROWS else alive, same).select("cls", "text").dropDuplicates(["cls"])
+    full = scratch.table(chosen.mapInArrow(_full_rows(width), "cls long, grams array<long>"), "full")
 
     # 2. Whole sets of those left, rarest elements first.
-    held = scratch.table(_held(full.select(F.explode("grams").alias("h"), F.col("rep").alias("d"))), "held")
+    held = scratch.table(_held(full.select(F.explode("grams").alias("h"), F.col("cls").alias("d")), scratch), "held")
     need = F.ceil(F.col("n") * percent / 100)
-    take = held.groupBy("d").agg(F.count("*").alias("s")).join(full.select(F.col("rep").alias("d"), F.size("grams").alias("n")), "d")
+    take = held.groupBy("d").agg(F.count("*").alias("s")).join(full.select(F.col("cls").alias("d"), F.size("grams").alias("n")), "d")
     take = take.filter(F.col("s") >= need).select("d", (F.col("s") - need + 1).alias("take"))
     rare = held.join(take, "d").withColumn("at", F.row_number().over(Window.partitionBy("d").orderBy("df", "h"))).filter("at <= take").select("h", "d")
     rare = scratch.table(rare, "rare")
     centre = rare.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("z")).filter("a < z").select("h", "a")
     groups = connected_components(rare.join(centre, "h").filter("a <> d").select("a", F.col("d").alias("b")), scratch)
 
-    # 3. Tries over the candidate groups.
-    member = scratch.table(groups.select(F.col("node").alias("rep"), F.col("component").alias("cc")), "member")
-    sizes = member.groupBy("cc").agg(F.count("*").alias("size"))
-    parts = F.when(F.col("size") > chunk, F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / chunk))).otherwise(0)
-    member = scratch.table(member.join(sizes, "cc").select("cc", "rep", "size", parts.cast("string").alias("part")), "parts")
+    # 3. Tries over the candidate groups, cut by sets and by elements.
+    member = groups.select(F.col("node").alias("cls"), F.col("component").alias("cc")).join(full.select("cls", F.size("grams").cast("long").alias("n")), "cls")
+    member = scratch.table(member, "member")
+    sizes = member.groupBy("cc").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / elements)).alias("parts"))
+    member = scratch.table(member.join(sizes, "cc").select("cc", "cls", "n", "parts", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("string").alias("part")), "parts")
 
-    def tried(keys: DataFrame, n: int) -> DataFrame:
-        bucket = F.pmod(F.xxhash64("cc", "part"), F.lit(max(1, n // GROUP_SETS)))
-        return full.join(keys, "rep").groupBy(bucket.alias("bucket")).applyInPandas(_group_links(percent), "a long, b long")
+    def tried(keys: DataFrame) -> DataFrame:
+        size = keys.join(member.select("cls", "n").distinct(), "cls").agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        buckets = max(1, size["k"] // GROUP_SETS, size["n"] // GROUP_ELEMENTS)
+        bucket = F.pmod(F.xxhash64("cc", "part"), F.lit(buckets))
+        return full.join(keys, "cls").groupBy(bucket.alias("bucket")).applyInPandas(_group_links(percent), "a long, b long")
 
-    links = scratch.table(tried(member, member.count()), "links")
-    large = member.filter(F.col("size") > chunk)
+    links = scratch.table(tried(member.select("cc", "part", "cls")), "links")
+    large = member.filter("parts > 1")
     if not large.isEmpty():
         for step in (_leaders, _rest):
-            label = connected_components(links, scratch).select(F.col("node").alias("rep"), "component")
-            state = scratch.table(large.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "state")
-            keys = scratch.table(step(state, chunk), "keys")
-            links = scratch.table(links.unionAll(tried(keys, keys.count())), "links")
-    label = connected_components(links, scratch).select(F.col("node").alias("rep"), "component")
-    named = classes.join(label, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    return sets.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2").join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+            label = connected_components(links, scratch).select(F.col("node").alias("cls"), "component")
+            state = scratch.table(large.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "state")
+            links = scratch.table(links.unionAll(tried(scratch.table(step(state, chunk, elements), "keys"))), "links")
+    label = connected_components(links, scratch).select(F.col("node").alias("cls"), "component")
+    named = classes.join(label, "cls", "left").select("d1", "d2", F.coalesce("component", "cls").alias("component"))
+    return sets.select("doc_id", "t", "n", "d1", "d2").join(named, ["d1", "d2"], "left").select("doc_id", "t", "n", "component")
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, chunk: int = CHUNK, elements: int = ELEMENTS) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
+
+    Rows link when ``100 * |A & B| >= percent * |A | B|`` of their shingle sets;
+    component_id is the smallest doc_id reachable, the own one (null too) of a
+    row that links with nothing.  Null and blank texts have the empty set and
+    link with nothing; texts of fewer than ``width`` words are one shingle; texts
+    of any length are read whole.  Repeated rows each come back, and texts that
+    share a doc_id are judged apart; other columns are ignored.  An empty table
+    gives an empty one.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    found = scratch.table(_grouped(docs, percent, width, chunk, elements, scratch), "grouped")
+    first = found.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("first"))
+    return found.join(first, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, chunk: int = CHUNK, elements: int = ELEMENTS) -> DataFrame:
+    """The rows of ``docs`` left when one row of each group of near duplicates stays.
+
+    That is the row with the smallest (doc_id, hash of the text), null ids last; of
+    rows that repeat both, any one.  Rows are judged by doc_id and text together,
+    so another text of a removed row's doc_id is not touched.  Rows without words
+    all stay.  All columns stay as they are.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    found = scratch.table(_grouped(docs, percent, width, chunk, elements, scratch).filter("component is not null"), "grouped")
+    texts = found.groupBy("component", "doc_id", "t").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    keep = texts.groupBy("component").agg(F.min(order).alias("k"))
+    judged = texts.join(keep, "component").withColumn("stays", order == F.col("k"))
+    judged = scratch.table(judged.filter("rows > 1 or not stays").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "stays"), "judged")
+    few = judged.count() <= BROADCAST_ROWS
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t"))
+    rest = docs.join(F.broadcast(judged) if few else judged, same, "left_anti")
+    again = judged.filter("stays")
+    if again.isEmpty():
+        return rest
+    once = docs.join(F.broadcast(again) if few else again, same, "left_semi").withColumns({"_id": F.col("doc_id").cast("long"), "_t": F.xxhash64("text")}).dropDuplicates(["_id", "_t"]).drop("_id", "_t")
+    return rest.unionByName(once)
