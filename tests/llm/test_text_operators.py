@@ -7,12 +7,14 @@ import hashlib
 import math
 import random
 import re
+import struct
 import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from tidemark.llm import bloom_lm, decontaminate, hashing, line_dedup, mixing, ngram_join, pii, quality, queries
 
@@ -176,6 +178,85 @@ def test_line_dedup_removes_repeated_passages_only(docs, texts):
     assert out[50].text == "" and 49 in out[50].kept_in
 
 
+def spark_hash(value, seed=42):
+    data = value.encode() if isinstance(value, str) else struct.pack("<q", value)
+    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(data, seed & (2**64 - 1))))[0]
+
+
+def brute_chunks(text):
+    """(number, first line, lines) of the chunks that aren't blank."""
+    lines = text.split("\n")
+    h = [spark_hash(x) for x in lines]
+    solid = [x.count(" ") >= line_dedup.SOLID_LINE - 1 for x in lines]
+    starts = [i for i in range(len(lines)) if i == 0 or solid[i] or solid[i - 1] or spark_hash(h[i], spark_hash(h[i - 1])) % line_dedup.MODULUS == 0]
+    chunks = [(a, lines[a:b]) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
+    return [(k, a, c) for k, (a, c) in enumerate(x for x in chunks if any(x[1]))]
+
+
+def chunk_words(lines):
+    return sum(x.count(" ") + (len(x) > 0) for x in lines)
+
+
+def brute_dedup(rows):
+    """Text of each (doc_id, text), by plain dictionaries of the chunks' bytes."""
+    distinct = {(i, t): brute_chunks(t) for i, t in rows if t}
+    number = collections.Counter(row for row in rows if row[1])
+    places = collections.defaultdict(list)
+    for (i, t), chunks in distinct.items():
+        for k, _, c in chunks:
+            places["\n".join(c)] += [(i, spark_hash(t), k)] * number[i, t]
+    keep = {body: min(at) for body, at in places.items() if len(at) > 1}
+    out = {}
+    for (i, t), chunks in distinct.items():
+        held = [(k, a, c, keep["\n".join(c)]) for k, a, c in chunks if "\n".join(c) in keep]
+        gone = set()
+        for n, (k, a, c, first) in enumerate(held):
+            low = high = n
+            while low and held[low - 1][0] == held[low][0] - 1:
+                low -= 1
+            while high + 1 < len(held) and held[high + 1][0] == held[high][0] + 1:
+                high += 1
+            several = any(low <= n + s <= high and held[n + s][3] == (*first[:2], first[2] + s) for s in (-1, 1))
+            total = sum(chunk_words(x[2]) for x in held[low : high + 1])
+            if (len(c) > 1 or several or chunk_words(c) >= line_dedup.LONG_LINE or total >= line_dedup.RUN_WORDS) and first != (i, spark_hash(t), k):
+                gone |= set(range(a, a + len(c)))
+        out[i, t] = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
+    return [(i, out.get((i, t), t)) for i, t in rows]
+
+
+def test_line_dedup_equals_brute_force(spark, texts):
+    rng = random.Random(13)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice((0, 1, 2, 4, 7, 12, 30)))) for _ in range(40)]
+    rows = [*enumerate(texts), *((1000 + i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for i in range(80))]
+    rows += [rows[3], rows[3], (3, "another text\nof the same id"), (2000, None), (2001, "")]
+    got = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted(got, key=str) == sorted(brute_dedup(rows), key=str)
+    assert sum(a != b for a, b in zip(sorted(got, key=str), sorted(rows, key=str), strict=True)) > 30
+
+
+@pytest.mark.parametrize(("lines", "low", "high"), [(3, 18, 24), (4, 14, 20), (6, 10, 10), (9, 6, 8)])
+def test_line_dedup_finds_passages_between_short_lines(spark, lines, low, high):
+    rng = random.Random(lines)
+    make = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, passages = [], []
+    for i in range(60):
+        passages.append([make(rng.randint(low, high)) for _ in range(lines)])
+        for k in (2 * i, 2 * i + 1):
+            rows.append((k, "\n".join([*(make(rng.randint(1, 5)) for _ in range(rng.randint(0, 4))), *passages[-1], *(make(rng.randint(1, 5)) for _ in range(rng.randint(0, 4)))])))
+    assert all(sum(len(x.split()) for x in p) > 50 for p in passages)
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, passage in enumerate(passages):
+        assert out[2 * i] == rows[2 * i][1]
+        assert out[2 * i + 1] == "\n".join(x for x in rows[2 * i + 1][1].split("\n") if x not in passage)
+
+
+def test_line_dedup_repeated_rows_and_null_ids(spark):
+    block = "\n".join(" ".join(f"{c}{i}" for c in "abcdefgh") for i in range(8))
+    rows = [(1, block), (1, block), (2, "own line here\n\n" + block), (None, "null id\n" + block), (3, None)]
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, "", 8), (1, "", 8), (2, "own line here\n", 8), (None, "null id\n" + block, 0), (3, None, 0)], key=str)
+
+
 def test_line_dedup_is_shift_resistant(spark):
     block = "\n".join(f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i}" for i in range(14))
     rows = [(1, "head one\n" + block + "\ntail"), (2, "a\nb\nc\n" + block + "\nend of two")]
