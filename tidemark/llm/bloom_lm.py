@@ -48,9 +48,9 @@ PROBES = 4
 SCALE = 1.5
 LEVELS = 112
 START_ROW = LEVELS - 1
-FLUSH = 2_000_000
-MERGE = 4_000_000
-SLICE = 2 << 20
+FLUSH = 1_500_000
+MERGE = 2_000_000
+SLICE = 1 << 20
 
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x9FB21C651E98DF25)
@@ -122,6 +122,7 @@ def _count_rows(bucket_bits: int):
     shift, n_buckets = np.uint64(64 - bucket_bits), 1 << bucket_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _READERS.clear()  # of an earlier call, in a worker used again
         kept: dict[int, tuple[list, list]] = {1: ([], []), 2: ([], [])}
         held = {1: 0, 2: 0}
 
@@ -452,4 +453,8 @@ def score_texts(docs: DataFrame, table_words: int = TABLE_WORDS, filter_bytes: i
             F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * (F.log10(c + 0.5) - F.lit(float(np.log10(model.total))))).alias("more_base")
         )
         scored = scored.join(added, "row", "left").withColumns({"known": F.col("known") + F.coalesce("more_known", F.lit(0)), "base": F.col("base") + F.coalesce("more_base", F.lit(0.0))})
-    return scored.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    scored = scored.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    scored = scratch.table(scored, "result")
+    for shared in (words, filter_):  # the stored scores need them no more
+        shared.unpersist()
+    return scored
