@@ -225,11 +225,11 @@ def _reduce_rows(bits_per_key: float, most_words: int):
 class Filter:
     """The segments of all buckets, ready for probing."""
 
-    def __init__(self, segments: list[tuple[int, bytes]], bucket_bits: int):
+    def __init__(self, segments: list[tuple[int, bytes | pa.Buffer]], bucket_bits: int):
         self.shift = np.uint64(64 - bucket_bits)
         self.size, self.start = np.ones(1 << bucket_bits, np.uint64), np.zeros(1 << bucket_bits, np.uint64)
         parts, at = [np.zeros(1, np.uint64)], 1  # an absent bucket reads the empty word
-        for bucket, data in sorted(segments):
+        for bucket, data in sorted(segments, key=lambda x: x[0]):
             part = np.frombuffer(data, np.uint64)
             self.size[bucket], self.start[bucket] = len(part), at
             parts.append(part)
@@ -257,9 +257,10 @@ class Words:
     def __init__(self, key: np.ndarray, count: np.ndarray):
         order = np.argsort(key)
         self.key, self.count = key[order], count[order]
-        bits = max(1, int(len(key)).bit_length())
+        bits = max(1, int(len(key)).bit_length() - 1)
         self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(self.key >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        lead = np.bincount((self.key >> self.shift).astype(np.int32), minlength=1 << bits) if len(key) else np.zeros(1 << bits, np.int64)
+        self.first = np.concatenate([[0], np.cumsum(lead)]).astype(np.int32)
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Place of each key in ``key``, -1 if absent."""
@@ -429,12 +430,17 @@ def score_texts(docs: DataFrame, table_words: int = TABLE_WORDS, filter_bytes: i
         least -= 1
         held += by_level.get(least, 0)
     exact = reduced.select("words", "counts").mapInArrow(_exact_rows(least, False), "word long, n long").toArrow()  # table_words rows at most
-    n = exact["n"].to_numpy()
-    words = spark.sparkContext.broadcast(Words(exact["word"].to_numpy().view(np.uint64), n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n))
-    del exact, n
+    word, n = exact["word"].to_numpy().view(np.uint64), exact["n"].to_numpy()
+    del exact
+    n = n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
+    words = spark.sparkContext.broadcast(Words(word, n))
+    del word, n
     found = reduced.select("bucket", "segment").toArrow()  # the filter itself, filter_bytes at most
-    filter_ = spark.sparkContext.broadcast(Filter(list(zip(found["bucket"].to_pylist(), found["segment"].to_pylist(), strict=True)), bucket_bits))
-    del found
+    pa.default_memory_pool().release_unused()
+    segments = (x.as_buffer() for chunk in found["segment"].chunks for x in chunk)  # without a copy
+    filter_ = spark.sparkContext.broadcast(Filter(list(zip(found["bucket"].to_pylist(), segments, strict=True)), bucket_bits))
+    del found, segments
+    pa.default_memory_pool().release_unused()
     token = uuid.uuid4().hex
 
     followers = training.mapInArrow(_follower_rows(token, filter_, words), "level long, n double, distinct double").groupBy("level").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).collect()
