@@ -42,7 +42,7 @@ from tidemark.llm.store import Scratch
 
 BITS_PER_KEY = 12
 FILTER_BYTES = 192 << 20
-TABLE_WORDS = 6_000_000
+TABLE_WORDS = 2_000_000
 BUCKET_BYTES = 8 << 20
 PROBES = 4
 SCALE = 1.5
@@ -50,6 +50,7 @@ LEVELS = 112
 START_ROW = LEVELS - 1
 FLUSH = 1_500_000
 MERGE = 2_000_000
+PIECE = 200_000
 SLICE = 1 << 20
 
 _END = np.uint64(0x2545F4914F6CDD1D)
@@ -155,8 +156,10 @@ def _count_rows(bucket_bits: int):
                 token, first = _tokens(batch.column("text"))
                 for gram, key in ((1, token), (2, _pairs(token, first))):
                     yield from add(gram, *np.unique(key, return_counts=True))
+            hashing.trim()
         for gram in (1, 2):
             yield from flush(gram)
+        hashing.trim()
 
     return run
 
@@ -176,8 +179,8 @@ def _segment(keys: np.ndarray, high: np.ndarray, bits_per_key: float, most_words
     level = np.arange(len(key)) - np.repeat(np.cumsum(high) - high, high) + 1
     size = max(1, min(most_words, round(len(key) * bits_per_key / 64)))
     table = np.zeros(size, np.uint64)
-    for at in range(0, len(key), MERGE):
-        place, bits = _places(key[at : at + MERGE], level[at : at + MERGE], np.uint64(size))
+    for at in range(0, len(key), PIECE):
+        place, bits = _places(key[at : at + PIECE], level[at : at + PIECE], np.uint64(size))
         np.bitwise_or.at(table, place, bits)
     return table
 
@@ -208,6 +211,7 @@ def _reduce_rows(bits_per_key: float, most_words: int):
                     if bucket is not None:
                         yield done(bucket, kept)
                     bucket, kept, held = row["bucket"], {1: ([], []), 2: ([], [])}, 0
+                    hashing.trim()
                 gram = row["gram"]
                 once, more = _unpacked(row["ones"], gram), _unpacked(row["keys"], gram)
                 kept[gram][0].extend((once, more))
@@ -291,8 +295,9 @@ class Reader:
         if token not in _READERS:
             _READERS.clear()
             f, w = filter_.value, words.value
-            levels = np.concatenate([f.level(w.key[i : i + MERGE]) for i in range(0, len(w.key), MERGE)]) if len(w.key) else np.empty(0, np.int64)
-            _READERS[token] = cls(f, w, levels.astype(np.uint8))
+            levels = np.concatenate([np.empty(0, np.uint8), *(f.level(w.key[i : i + PIECE]).astype(np.uint8) for i in range(0, len(w.key), PIECE))])
+            hashing.trim()
+            _READERS[token] = cls(f, w, levels)
         return _READERS[token]
 
     def of_words(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,6 +332,7 @@ def _follower_rows(token_: str, filter_, words):
                 count = TYPICAL[reader.filter.level(_pairs(token, first))]
                 table[0] += np.bincount(context, minlength=LEVELS)
                 table[1] += np.bincount(context, 1 / np.maximum(count, 1), minlength=LEVELS)
+            hashing.trim()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS)), pa.array(table[0]), pa.array(table[1])], names=["level", "n", "distinct"])
 
     return run
@@ -386,6 +392,7 @@ def _score_rows(token_: str, filter_, words, model: Model, whole_table: bool):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(first)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *lists], names=names
                 )
+            hashing.trim()
 
     return run
 

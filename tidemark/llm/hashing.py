@@ -8,6 +8,7 @@ by ``STEP`` bytes of text at a time.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,3 +119,11 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 * STEP) -> Iterator[
         stop = max(row + 1, int(np.searchsorted(at, at[row] + limit, "right")) - 1)
         yield batch.slice(row, stop - row)
         row = stop
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
