@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import hashing
-from tidemark.llm.store import Scratch
+from tidemark.llm.store import Scratch, small_batches
 
 BITS_PER_KEY = 12
 FILTER_BYTES = 192 << 20
@@ -450,7 +450,9 @@ def score_texts(docs: DataFrame, table_words: int = TABLE_WORDS, filter_bytes: i
     pa.default_memory_pool().release_unused()
     token = uuid.uuid4().hex
 
-    followers = training.mapInArrow(_follower_rows(token, filter_, words), "level long, n double, distinct double").groupBy("level").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).collect()
+    followers = training.mapInArrow(_follower_rows(token, filter_, words), "level long, n double, distinct double").groupBy("level").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct"))
+    with small_batches(spark):
+        followers = followers.collect()  # LEVELS rows
     delta = sums["once"] / (sums["once"] + 2 * sums["twice"]) if sums["once"] else 0.5
     mass = np.ones(LEVELS)
     for r in followers:

@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside hand texts to Python workers a few megabytes at a time; the session's setting comes back."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local runs) a folder of this
-    machine is chosen, and set for the session's context as well.
+    Only a local session (tests) may name none: it gets a folder of this machine,
+    set for the session's context as well.  Elsewhere that is an error, as other
+    machines could not see the folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -39,7 +59,8 @@ class Scratch:
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
