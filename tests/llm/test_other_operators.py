@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
 
@@ -178,9 +179,28 @@ def test_pipeline_stages(spark):
 
 
 def test_stages_take_edge_rows(spark):
+    """What each stage keeps of nulls, repeats and shared ids; an empty table stays empty."""
     sf = "/root/testdata/sf0.001"
-    rows = [(1, None), (2, ""), (3, "one two three"), (3, "one two three"), (None, "a b"), (4, "word " * 30_000)]
-    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, sf).count() >= 0
-        assert stage(spark, docs.limit(0), sf).count() == 0
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").select("text").orderBy("item_id").first()[0]
+    own = [f"a line of its own number {i} with some more words about nothing much" for i in range(4)]
+    rows = [(1, None), (2, ""), (3, "one two three"), (3, "one two three"), (3, own[0]), (None, "a b"), (4, "word " * 30_000), (5, leak), (5, own[1]), (None, own[2])]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, copies string")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    out = {name: collections.Counter((r.doc_id, r.text) for r in stage(spark, docs, sf).collect()) for name, stage in corpus_pipeline.STAGES}
+    every = collections.Counter(rows)
+    assert not out["quality_classifier"].keys() & {(1, None), (2, "")} and out["quality_classifier"] <= every
+    assert out["line_dedup"] == every
+    assert out["ngram_join"] == every - collections.Counter([(3, "one two three")])
+    assert out["decontamination"] == every - collections.Counter([(5, leak)])
+    assert out["mixing"] <= every and not out["mixing"].keys() & {(1, None), (2, "")}
+    mixed = stages["mixing"](spark, docs, sf).collect()
+    assert all(r.taken == r.copies * len((r.text or "").split()) for r in mixed if r.text != "one two three")
+
+
+def test_ngram_stage_keeps_other_texts_of_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (2, b), (3, a), (3, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.ngram_join(spark, docs, "").collect()) == [(1, a), (2, b), (3, c)]

@@ -41,12 +41,11 @@ from tidemark.llm.store import Scratch
 
 PERCENT = 80
 WIDTH = 5
-CHUNK = 1000
+CHUNK = 500
 ELEMENTS = 2_000_000
-GROUP_SETS = 250
+GROUP_SETS = 125
 GROUP_ELEMENTS = 1_000_000
 BROADCAST_ROWS = 2_000_000
-BROADCAST_ELEMENTS = 1_000_000
 _BITS = np.uint64((1 << 55) - 1)
 _ID_BITS = (1 << 47) - 1
 
@@ -106,7 +105,7 @@ def _held(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """
     shared = rows.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("df")).filter("low < high").select("h", "df")
     shared = scratch.table(shared, "shared")
-    return rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_ELEMENTS else shared, "h")
+    return rows.join(shared.hint("merge"), "h")  # one plan at every size
 
 
 def _leaders(state: DataFrame, chunk: int, elements: int) -> DataFrame:
@@ -255,19 +254,22 @@ def _grouped(docs: DataFrame, percent: int, width: int, chunk: int, elements: in
     sizes = member.groupBy("cc").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / elements)).alias("parts"))
     member = scratch.table(member.join(sizes, "cc").select("cc", "cls", "n", "parts", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("string").alias("part")), "parts")
 
+    size = member.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    buckets = max(1, size["k"] // GROUP_SETS, size["n"] // GROUP_ELEMENTS)
+
     def tried(keys: DataFrame) -> DataFrame:
-        size = keys.join(member.select("cls", "n").distinct(), "cls").agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        buckets = max(1, size["k"] // GROUP_SETS, size["n"] // GROUP_ELEMENTS)
-        bucket = F.pmod(F.xxhash64("cc", "part"), F.lit(buckets))
+        """Small groups share buckets; a chunk of a large one is a bucket of its own."""
+        bucket = F.when(F.col("parts") > 1, F.xxhash64("cc", "part")).otherwise(F.pmod(F.xxhash64("cc"), F.lit(buckets)))
         return full.join(keys, "cls").groupBy(bucket.alias("bucket")).applyInPandas(_group_links(percent), "a long, b long")
 
-    links = scratch.table(tried(member.select("cc", "part", "cls")), "links")
+    links = scratch.table(tried(member.select("cc", "part", "parts", "cls")), "links")
     large = member.filter("parts > 1")
     if not large.isEmpty():
         for step in (_leaders, _rest):
             label = connected_components(links, scratch).select(F.col("node").alias("cls"), "component")
             state = scratch.table(large.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "state")
-            links = scratch.table(links.unionAll(tried(scratch.table(step(state, chunk, elements), "keys"))), "links")
+            keys = scratch.table(step(state, chunk, elements).withColumn("parts", F.lit(2)), "keys")
+            links = scratch.table(links.unionAll(tried(keys)), "links")
     label = connected_components(links, scratch).select(F.col("node").alias("cls"), "component")
     named = classes.join(label, "cls", "left").select("d1", "d2", F.coalesce("component", "cls").alias("component"))
     return sets.select("doc_id", "t", "n", "d1", "d2").join(named, ["d1", "d2"], "left").select("doc_id", "t", "n", "component")
