@@ -83,8 +83,12 @@ def kendall(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     s = float((sx * sy).sum())
     tau = s / math.sqrt(nx * ny)
     if nx < len(i) or ny < len(i) or n > 50:
-        z = s / math.sqrt(n * (n - 1) * (2 * n + 5) / 18)
-        return tau, math.erfc(abs(z) / math.sqrt(2))
+        t, u = (np.unique(v, return_counts=True)[1].astype(float) for v in (x, y))
+        var = (n * (n - 1) * (2 * n + 5) - (t * (t - 1) * (2 * t + 5)).sum() - (u * (u - 1) * (2 * u + 5)).sum()) / 18
+        var += (t * (t - 1)).sum() * (u * (u - 1)).sum() / (2 * n * (n - 1))
+        if n > 2:
+            var += (t * (t - 1) * (t - 2)).sum() * (u * (u - 1) * (u - 2)).sum() / (9 * n * (n - 1) * (n - 2))
+        return tau, math.erfc(abs(s) / math.sqrt(2 * var))
     ways = np.ones(1)  # permutations by number of inversions, as shares
     for m in range(2, n + 1):
         ways = np.convolve(ways, np.full(m, 1 / m))

@@ -89,7 +89,7 @@ def boosted_forecast(panel: DataFrame, column: str, exog: Sequence[str], horizon
             pred = [np.nan] * len(test)
         else:
             model = K.BoostedTrees(depth, rate, trees).fit(x, y)
-            pred = _recursive(model, train[column].tolist(), test[list(exog)].to_numpy(float))
+            pred = _recursive(model, train[column].ffill(limit=6).tolist(), test[list(exog)].to_numpy(float))
         return pd.DataFrame({key: keys[0], "t": test["t"].to_numpy(), "actual": test[column].to_numpy(float), "pred": pred})
 
     return state_features(panel, column, (1, 2, 3, 6, 12)).groupBy(key).applyInPandas(run, f"{key} string, t int, actual double, pred double")
@@ -146,21 +146,38 @@ def tune(panel: DataFrame, column: str, grid: Sequence[tuple[int, float, int]],
     return points.join(mean, "point", "left").crossJoin(F.broadcast(best)).select("depth", "rate", "trees", "cv_rmse", (F.col("point") == F.col("best")).alias("selected"), "n_entities", "n_folds")
 
 
+def _regular(values: pd.Series, limit: int = 6) -> np.ndarray:
+    """From the first known month on, with inner gaps of up to ``limit`` months on a line; a longer gap is an error."""
+    x = values.to_numpy(float)
+    seen = np.flatnonzero(~np.isnan(x))
+    if not len(seen):
+        raise ValueError("no values")
+    if np.diff(seen, append=len(x)).max(initial=1) > limit + 1:
+        raise ValueError(f"a gap of more than {limit} months")
+    return np.interp(np.arange(seen[0], len(x)), seen, x[seen])
+
+
 def arima_forecast(panel: DataFrame, column: str, exog: Sequence[str], horizon: int, key: str = "entity") -> DataFrame:
-    """Seasonal ARIMA forecast of the last rows; a fit that fails or a regressor gap gives a status instead."""
+    """Seasonal ARIMA forecast of the last rows of a panel on its whole calendar.
+
+    ``exog`` are columns already shifted by their lags.  A fit that fails, a gap of
+    more than six training months or a regressor gap in the test months gives a
+    status instead; training months before all regressors start are left out.
+    """
 
     def run(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("t")
         train, test = group.iloc[:-horizon], group.iloc[-horizon:]
-        y = train[column].ffill(limit=6)
         x = group[list(exog)].ffill(limit=6)
-        keep = y.notna() & x.loc[train.index].notna().all(axis=1)
         pred, status, order = [np.nan] * len(test), None, None
         if exog and x.loc[test.index].isna().any().any():
             status = "ERROR: regressor gap in the test months"
         else:
             try:
-                model = K.SeasonalArima.choose(y[keep].to_numpy(float), x.loc[train.index][keep].to_numpy(float) if exog else None)
+                y = _regular(train[column])
+                before = [_regular(x.loc[train.index, c]) for c in exog]
+                n = min(len(v) for v in (y, *before))
+                model = K.SeasonalArima.choose(y[-n:], np.column_stack([v[-n:] for v in before]) if exog else None)
                 pred = model.forecast(len(test), x.loc[test.index].to_numpy(float) if exog else None)
                 order = str(model.order)
             except (ValueError, np.linalg.LinAlgError) as error:
@@ -176,13 +193,12 @@ def rolling_arima(panel: DataFrame, column: str, horizons: Sequence[int], window
     def run(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("t")
         n, rows = len(group), []
-        filled, actual = group[column].ffill(limit=6).to_numpy(float), group[column].to_numpy(float)
+        actual = group[column].to_numpy(float)
         try:
-            chosen = K.SeasonalArima.choose(filled[: n - window][~np.isnan(filled[: n - window])])
+            chosen = K.SeasonalArima.choose(_regular(group[column].iloc[: n - window]))
             for origin in range(n - window - 1, n - 1):
-                past = filled[: origin + 1]
                 p, d, q, sp, sd, sq = chosen.order
-                path = K.SeasonalArima(p, d, q, sp, sd, sq).fit(past[~np.isnan(past)]).forecast(max(horizons))
+                path = K.SeasonalArima(p, d, q, sp, sd, sq).fit(_regular(group[column].iloc[: origin + 1])).forecast(max(horizons))
                 rows += [(keys[0], h, int(group["t"].iloc[origin]), actual[origin + h], float(path[h - 1])) for h in horizons if origin + h < n]
         except (ValueError, np.linalg.LinAlgError):
             pass  # what was forecast before stays

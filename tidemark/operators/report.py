@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalar import model_cell
 
@@ -32,22 +33,28 @@ def configurations(fits: DataFrame, key: str, methods: Sequence[str], status: st
     return cells.groupBy(key).pivot("method", list(methods)).agg(F.min("_cell")).na.fill("not applicable")
 
 
-def to_markdown(df: DataFrame, decimals: int = 3) -> str:
-    """A small table as Markdown: numbers right-aligned, tiny ones in scientific notation, yes/no, blanks for nulls."""
-    numeric = {c for c, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint") or t.startswith("decimal")}
-
-    def cell(x) -> str:
-        if x is None:
-            return ""
-        if isinstance(x, bool):
-            return "yes" if x else "no"
-        if isinstance(x, float):
-            return f"{x:.1e}" if 0 < abs(x) < 1e-4 else f"{x:.{decimals}f}"
-        return str(x).replace("|", r"\|")
-
-    head = "| " + " | ".join(df.columns) + " |"
-    rule = "| " + " | ".join("---:" if c in numeric else "---" for c in df.columns) + " |"
-    return "\n".join([head, rule, *("| " + " | ".join(map(cell, row)) + " |" for row in df.collect())])
+def text_cells(df: DataFrame, decimals: int | Mapping[str, int] = 3) -> DataFrame:
+    """Every column as the text a report shows: fixed decimals (by column, if given so), ``%.2e`` below 1e-4, yes or no, blank for null."""
+    shown = []
+    for field in df.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, T.BooleanType):
+            text = F.when(c, "yes").otherwise("no")
+        elif isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+            digits = decimals if isinstance(decimals, int) else decimals.get(field.name, 3)
+            x = c.cast("double")
+            text = F.when((x != 0) & (F.abs(x) < 1e-4), F.format_string("%.2e", x)).otherwise(F.format_string(f"%.{digits}f", x))
+        else:
+            text = F.replace(c.cast("string"), F.lit("|"), F.lit("\\|"))
+        shown.append(F.when(c.isNull(), "").otherwise(text).alias(field.name))
+    return df.select(*shown)
+
+
+def to_markdown(df: DataFrame, decimals: int | Mapping[str, int] = 3) -> str:
+    """A report table, which is small, as Markdown; the schema says which columns align right."""
+    lines = text_cells(df, decimals).select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(f"`{c}`") for c in df.columns]), F.lit(" |")).alias("line"))
+    right = ["---:" if isinstance(f.dataType, T.NumericType) else "---" for f in df.schema.fields]
+    return "\n".join(["| " + " | ".join(x) + " |" for x in (df.columns, right)] + [r.line for r in lines.collect()])
 
 
 def report(parts: Mapping[str, DataFrame], notes: Mapping[str, str] | None = None) -> str:

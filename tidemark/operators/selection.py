@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import kernels as K
+
 
 def retained(edges: DataFrame) -> DataFrame:
     """Edges with evidence and a known lag of 0 or more."""
@@ -32,3 +35,27 @@ def first_step(panel: DataFrame, target: str, variables: Sequence[str], key: str
     better = m.withColumns({"aic": aic, "base": base}).filter("aic < base")
     best = better.groupBy(key).agg(F.min(F.struct("aic", "variable")).alias("b"))
     return best.select(key, F.col("b.variable").alias("variable"), F.col("b.aic").alias("aic"))
+
+
+def stepwise(panel: DataFrame, target: str, variables: Sequence[str], key: str = "entity", criterion: str = "aic", least: int = 20) -> DataFrame:
+    """``(entity, step, variable)`` of a whole forward selection: one numpy fit a key, candidates in the order given."""
+
+    def run(keys: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        chosen = K.stepwise(group[target].to_numpy(float), group[list(variables)].to_numpy(float), list(variables), criterion, least)
+        return pd.DataFrame({key: keys[0], "step": range(1, len(chosen) + 1), "variable": chosen})
+
+    return panel.select(key, target, *variables).groupBy(key).applyInPandas(run, f"{key} string, step int, variable string")
+
+
+def stepwise_lags(panel: DataFrame, lags: DataFrame, target: str, key: str = "entity", criterion: str = "aic") -> DataFrame:
+    """The lags of ``lags(entity, variable, lag)`` whose shifted variables a forward selection keeps, by entity."""
+    variables = sorted(r[0] for r in lags.select("variable").distinct().collect())  # the panel's columns
+    by = F.create_map(*[x for v in variables for x in (F.lit(v), F.col(v))])
+    moved = panel.select(key, "t", F.explode(by).alias("variable", "x")).join(lags.select(key, "variable", "lag"), [key, "variable"]).withColumn("t", F.col("t") + F.col("lag"))
+    wide = panel.select(key, "t", target).join(moved.groupBy(key, "t").pivot("variable", variables).agg(F.first("x")).drop(target), [key, "t"], "left")
+    # A variable without a lag for an entity has no values there; 0 keeps the rows complete and adds nothing to a fit.
+    have = lags.groupBy(key).agg(F.collect_set("variable").alias("_have"))
+    wide = wide.join(F.broadcast(have), key)
+    wide = wide.withColumns({v: F.when(F.array_contains("_have", v), F.col(v)).otherwise(F.lit(0.0)) for v in variables})
+    kept = stepwise(wide, target, variables, key, criterion)
+    return kept.join(lags.select(key, "variable", "lag"), [key, "variable"])

@@ -56,9 +56,9 @@ def _convergence(spark, sf):
 
 
 def _knn_vectors(spark, sf):
-    """Three nearest vectors of every fiftieth one, over all vectors, by Euclidean distance."""
+    """Three nearest vectors of every vector whose id is divisible by 20, over all vectors, by Euclidean distance."""
     v = T.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("emb"))
-    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("emb").alias("q"))
+    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("emb").alias("q"))
     pairs = v.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, F.col("vec_id") != F.col("query"))
     d = pairs.select("query", "vec_id", E.distance(F.col("q"), F.col("emb")).alias("d"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "vec_id"))
@@ -114,7 +114,7 @@ QUERIES = {
         SELECT entity, size::BIGINT AS lib_size, round(rho, 6) AS rho FROM s""", "anomaly")),
     "knn_vectors": Query(_knn_vectors, """
         WITH p AS (SELECT a.vec_id AS query, b.vec_id, sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: power(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))) AS d
-                   FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+                   FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
         k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rank FROM p)
         SELECT query, rank, vec_id, round(d, 6) AS d FROM k WHERE rank <= 3"""),
 }

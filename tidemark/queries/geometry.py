@@ -31,7 +31,7 @@ def _inside(spark, sf):
 
 
 def _resolve(spark, sf):
-    return G.resolve(points(spark, sf), polygons(spark).filter("polygon <> 'notch'"), limit=1.0)
+    return G.resolve(points(spark, sf), polygons(spark), limit=1.0)
 
 
 def _cells(spark, sf):
@@ -61,18 +61,26 @@ _PTS = "p AS (SELECT c_custkey AS point, (c_custkey % 97) / 9.0::DOUBLE AS lon,
 _HIT = "(y1 > lat) <> (y2 > lat) AND lon < x1 + (x2 - x1) * (lat - y1) / (y2 - y1)"
 
 
+def _side(x: str, y: str) -> str:
+    return f"(x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1)"
+
+
 def _cells_sql(step: float, buffer: float) -> str:
     return f"""g AS (SELECT polygon, (i + 0.5::DOUBLE) * {step} AS lon, (j + 0.5::DOUBLE) * {step} AS lat FROM b,
             (SELECT unnest(range(-4, 40)) AS i), (SELECT unnest(range(-4, 40)) AS j)
             WHERE i BETWEEN floor((x0 - {buffer}) / {step}) AND ceil((x9 + {buffer}) / {step}) - 1 AND j BETWEEN floor((y0 - {buffer}) / {step}) AND ceil((y9 + {buffer}) / {step}) - 1),
-        c AS (SELECT polygon, lon, lat FROM g JOIN e USING (polygon) GROUP BY ALL HAVING count(*) FILTER ({_HIT}) % 2 = 1)"""
+        s AS (SELECT *, lon - {step / 2}::DOUBLE AS cx, lat - {step / 2}::DOUBLE AS cy FROM g JOIN e USING (polygon)),
+        m AS (SELECT *, {_side('cx', 'cy')} AS s1, {_side(f'cx + {step}', 'cy')} AS s2, {_side('cx', f'cy + {step}')} AS s3, {_side(f'cx + {step}', f'cy + {step}')} AS s4 FROM s),
+        c AS (SELECT polygon, lon, lat FROM m GROUP BY ALL HAVING count(*) FILTER ({_HIT}) % 2 = 1
+            OR bool_or(greatest(x1, x2) >= cx AND least(x1, x2) <= cx + {step} AND greatest(y1, y2) >= cy AND least(y1, y2) <= cy + {step} AND least(s1, s2, s3, s4) <= 0 AND greatest(s1, s2, s3, s4) >= 0))"""
 
 
 QUERIES = {
     "point_in_polygon": Query(_inside, f"WITH {_EDGES}, {_PTS} SELECT point, polygon FROM p, e GROUP BY ALL HAVING count(*) FILTER ({_HIT}) % 2 = 1"),
     "resolve_polygon": Query(_resolve, f"""WITH {_EDGES}, {_PTS},
-        i AS (SELECT point, min(polygon) AS inside FROM (SELECT point, polygon FROM p, e WHERE polygon <> 'notch' GROUP BY ALL HAVING count(*) FILTER ({_HIT}) % 2 = 1) GROUP BY ALL),
-        d AS (SELECT point, polygon, sqrt(power(lon - x1, 2) + power(lat - y1, 2)) AS d FROM p, e WHERE polygon <> 'notch'),
+        i AS (SELECT point, min(polygon) AS inside FROM (SELECT point, polygon FROM p, e GROUP BY ALL HAVING count(*) FILTER ({_HIT}) % 2 = 1) GROUP BY ALL),
+        t AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM p, e),
+        d AS (SELECT point, polygon, min(sqrt(power(lon - (x1 + t * (x2 - x1)), 2) + power(lat - (y1 + t * (y2 - y1)), 2))) AS d FROM t GROUP BY ALL),
         n AS (SELECT point, polygon AS nearest FROM d WHERE d <= 1 QUALIFY row_number() OVER (PARTITION BY point ORDER BY d, polygon) = 1)
         SELECT point, coalesce(inside, nearest) AS polygon, inside IS NOT NULL AS contains FROM p LEFT JOIN i USING (point) LEFT JOIN n USING (point)"""),
     "grid_cells": Query(_cells, f"WITH {_EDGES}, {_cells_sql(0.5, 0.15)} SELECT polygon, round(lon, 4) AS lon, round(lat, 4) AS lat FROM c"),
