@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import collections
+import datetime as dt
 import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,3 +325,33 @@ def test_report_text(spark):
     assert r"| a\|b | 1.235 | 1.00e-05 | yes |  |" in text and "| --- | ---: | ---: | --- | ---: |" in text
     assert "| 1.2 | 1.00e-05 |" in report.to_markdown(df, {"x": 1})
     assert report.report({"T": df}, {"T": "note"}).startswith("## T\n\n|")
+
+
+def test_whole_stepwise_selection(spark):
+    """Against least squares by hand: the drivers that make the level, in the order of what they add."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for entity in ("a", "b"):
+        p, q, r = rng.standard_normal((3, 90))
+        level = np.full(90, np.nan)
+        level[2:] = 2.0 * p[1:-1] + (1.0 * q[:-2] if entity == "a" else 0.0) + 0.1 * rng.standard_normal(88)
+        rows += [(entity, t, None if np.isnan(level[t]) else float(level[t]), float(p[t]), float(q[t]), float(r[t])) for t in range(90)]
+    panel = spark.createDataFrame(rows, "entity string, t int, WL double, P double, Q double, R double")
+    lags = spark.createDataFrame([(e, v, k) for e in "ab" for v, k in (("P", 1), ("Q", 2))], "entity string, variable string, lag int")
+    got = {(r.entity, r.step): (r.variable, r.lag) for r in selection.stepwise_lags(panel, lags, "WL", criterion="bic").collect()}
+    assert got == {("a", 1): ("P", 1), ("a", 2): ("Q", 2), ("b", 1): ("P", 1)}
+
+
+def test_models_keep_the_calendar():
+    """A short inner gap is filled on a line, a long one is an error, and leading months go."""
+    values = pd.Series([np.nan, 1.0, 2.0, np.nan, np.nan, 5.0])
+    assert models._regular(values).tolist() == [1.0, 2.0, 3.0, 4.0, 5.0]
+    with pytest.raises(ValueError, match="gap of more than 6"):
+        models._regular(pd.Series([1.0, *[np.nan] * 7, 2.0]))
+
+
+def test_predeclared_comparisons(spark):
+    rows = [(m, "e", 1, t, float(t), p) for t in range(12) for m, p in (("m1", t + 1.0), ("m2", t + 2.0 if t != 3 else None))]
+    pairs = spark.createDataFrame([("m1", "m2"), ("m1", "m3")], "method_1 string, method_2 string")
+    both = evaluate.compare(spark.createDataFrame(rows, "method string, entity string, h int, t0 int, actual double, pred double"), pairs).collect()
+    assert len(both) == 11 and {(r.method_1, r.method_2) for r in both} == {("m1", "m2")} and all(r.p2 - r.p1 == 1 for r in both)

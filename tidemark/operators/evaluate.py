@@ -53,3 +53,18 @@ def matched(scores: DataFrame, entity: str, cells: Sequence[str]) -> DataFrame:
     n_cells = scores.select(*cells).distinct().agg(F.count("*").alias("_all"))
     full = scores.groupBy(entity).agg(F.countDistinct(*cells).alias("_n")).join(F.broadcast(n_cells), F.col("_n") == F.col("_all")).select(entity)
     return scores.join(full, entity, "left_semi")
+
+
+def compare(predictions: DataFrame, pairs: DataFrame, keys: Sequence[str] = ("entity", "h"), origin: str = "t0", least: int = 10) -> DataFrame:
+    """``predictions(method, ...)`` of both methods of each predeclared pair ``(method_1, method_2)`` on their common origins.
+
+    A pair of which a method has no predictions has no rows; a group with fewer
+    than ``least`` complete origins is dropped.
+    """
+    known = predictions.filter("actual is not null and pred is not null")
+    on = [*keys, origin]
+    first = known.select(F.col("method").alias("method_1"), *on, "actual", F.col("pred").alias("p1")).join(F.broadcast(pairs), "method_1")
+    second = known.select(F.col("method").alias("method_2"), *on, F.col("pred").alias("p2"))
+    both = first.join(second, ["method_2", *on])
+    enough = both.groupBy("method_1", "method_2", *keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n")
+    return both.join(enough, ["method_1", "method_2", *keys])

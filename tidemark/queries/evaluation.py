@@ -92,6 +92,21 @@ def _matched(spark, sf):
     return wide.crossJoin(F.broadcast(n)).select("method", "n_entities", *[F.col(str(h)).alias(f"rmse_h{h}") for h in DRIVER.rolling_horizons])
 
 
+# Comparisons declared before any result; one method is not run here.
+PAIRS = (("persistence", "seasonal"), ("persistence", "climatology"), ("seasonal", "climatology"), ("persistence", "arima"))
+
+
+def _comparisons(spark, sf):
+    """Every predeclared pair on its common origins: complete origins, mean loss difference and the better method."""
+    f = forecasts(spark, sf)
+    flat = f["persistence"].withColumn("pred", F.lit(0.0))  # the season's mean: no anomaly
+    every = f["persistence"].withColumn("method", F.lit("persistence")).unionByName(f["seasonal"].withColumn("method", F.lit("seasonal"))).unionByName(flat.withColumn("method", F.lit("climatology")))
+    both = V.compare(every, spark.createDataFrame(PAIRS, "method_1 string, method_2 string"), least=5)
+    loss = (F.col("actual") - F.col("p1")) ** 2 - (F.col("actual") - F.col("p2")) ** 2
+    t = both.groupBy("method_1", "method_2", "entity", "h").agg(F.count("*").alias("n_common"), F.avg(loss).alias("d"))
+    return t.select("method_1", "method_2", "entity", F.col("h").cast("long").alias("h"), "n_common", F.round("d", 0).alias("mean_difference"), F.when(F.col("d") < 0, F.col("method_1")).otherwise(F.col("method_2")).alias("better"))
+
+
 _M = """round(sqrt(avg((a - p) * (a - p))), 4) AS rmse, round(avg(abs(a - p)), 4) AS mae, round(CASE WHEN var_pop(a) > 0 THEN 1 - avg((a - p) * (a - p)) / var_pop(a) END, 4) AS nse,
     round(CASE WHEN NOT abs(sum(a)) < 1e-6 * greatest(1.0, sum(abs(a))) THEN 100 * sum(a - p) / sum(a) END, 4) AS pbias, count(a) AS n_eval"""
 _CLEAN = "SELECT *, CASE WHEN actual IS NOT NULL AND pred IS NOT NULL THEN actual END AS a, CASE WHEN actual IS NOT NULL AND pred IS NOT NULL THEN pred END AS p FROM"
@@ -118,6 +133,13 @@ QUERIES = {
     "dm_family_fdr": Query(_family, sql(f"WITH {_FAM} SELECT entity, h::BIGINT AS h, round(p_fdr, 6) AS p_fdr, sig_fdr, winner FROM g", "persist", "seasonal")),
     "dm_summary": Query(_dm_summary, sql(f"""WITH {_FAM} SELECT 'persistence' AS method_1, 'seasonal' AS method_2, count(DISTINCT entity) AS n_entities, count(*) AS n_tested, count(*) FILTER (sig_fdr) AS n_significant,
         count(*) FILTER (winner = 'persistence') AS n_favouring_1, count(*) FILTER (winner = 'seasonal') AS n_favouring_2 FROM g WHERE p_value IS NOT NULL""", "persist", "seasonal")),
+    "method_comparisons": Query(_comparisons, sql("""
+        WITH every AS (SELECT 'persistence' AS m, * FROM persist UNION ALL SELECT 'seasonal', * FROM seasonal UNION ALL SELECT 'climatology', entity, h, t0, actual, 0.0 FROM persist),
+        p AS (SELECT * FROM (VALUES ('persistence', 'seasonal'), ('persistence', 'climatology'), ('seasonal', 'climatology'), ('persistence', 'arima')) v(method_1, method_2)),
+        j AS (SELECT method_1, method_2, entity, h, power(a.actual - a.pred, 2) - power(a.actual - b.pred, 2) AS d FROM p JOIN every a ON a.m = method_1 JOIN every b USING (entity, h, t0)
+              WHERE b.m = method_2 AND a.actual IS NOT NULL AND a.pred IS NOT NULL AND b.pred IS NOT NULL)
+        SELECT method_1, method_2, entity, h::BIGINT AS h, count(*) AS n_common, round(avg(d), 0) AS mean_difference, CASE WHEN avg(d) < 0 THEN method_1 ELSE method_2 END AS better
+        FROM j GROUP BY method_1, method_2, entity, h HAVING count(*) >= 5""", "persist", "seasonal")),
     "foresight_flags": Query(_foresight, """
         SELECT l AS min_lag, least(l, 12) AS free_months, round(least(l, 12) / 12, 6) AS frac_free, h::BIGINT AS h, h > l AS requires_foresight
         FROM (SELECT unnest(range(1, 16)) AS l), (VALUES (1), (3), (6), (12)) v(h)"""),
