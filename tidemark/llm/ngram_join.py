@@ -289,6 +289,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     scratch = Scratch(docs.sparkSession, "ngram-join")
     found = scratch.table(_grouped(docs, percent, width, chunk, elements, scratch), "grouped")
     first = found.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("first"))
+    first = scratch.table(first, "first")  # stored, so that Spark can split a large component's rows
     return found.join(first, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"))
 
 
@@ -305,7 +306,7 @@ def without_near_copies(docs: DataFrame, percent: int = PERCENT, width: int = WI
     texts = found.groupBy("component", "doc_id", "t").agg(F.count("*").alias("rows"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
     keep = texts.groupBy("component").agg(F.min(order).alias("k"))
-    judged = texts.join(keep, "component").withColumn("stays", order == F.col("k"))
+    judged = texts.join(scratch.table(keep, "keep"), "component").withColumn("stays", order == F.col("k"))
     judged = scratch.table(judged.filter("rows > 1 or not stays").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "stays"), "judged")
     few = judged.count() <= BROADCAST_ROWS
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t"))
