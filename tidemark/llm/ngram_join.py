@@ -245,7 +245,7 @@ def _grouped(docs: DataFrame, percent: int, width: int, chunk: int, elements: in
     take = take.filter(F.col("s") >= need).select("d", (F.col("s") - need + 1).alias("take"))
     rare = held.join(take, "d").withColumn("at", F.row_number().over(Window.partitionBy("d").orderBy("df", "h"))).filter("at <= take").select("h", "d")
     rare = scratch.table(rare, "rare")
-    centre = rare.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("z")).filter("a < z").select("h", "a")
+    centre = scratch.table(rare.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("z")).filter("a < z").select("h", "a"), "centre")
     groups = connected_components(rare.join(centre, "h").filter("a <> d").select("a", F.col("d").alias("b")), scratch)
 
     # 3. Tries over the candidate groups, cut by sets and by elements.
