@@ -45,7 +45,7 @@ def cube(spark, sf):
 
 def _mean(spark, sf):
     m = G.masked_mean(cube(spark, sf), G.grid_cells(polygons(spark), step=0.5), 0.5)
-    return m.select("polygon", F.col("time").cast("long").alias("time"), F.round("value", 4).alias("value"), "n_cells")
+    return m.select("polygon", F.col("time").cast("long").alias("time"), F.round("value", 8).alias("value"), "n_cells")
 
 
 def _box(spark, sf):
@@ -85,7 +85,7 @@ QUERIES = {
         SELECT point, coalesce(inside, nearest) AS polygon, inside IS NOT NULL AS contains FROM p LEFT JOIN i USING (point) LEFT JOIN n USING (point)"""),
     "grid_cells": Query(_cells, f"WITH {_EDGES}, {_cells_sql(0.5, 0.15)} SELECT polygon, round(lon, 4) AS lon, round(lat, 4) AS lat FROM c"),
     "grid_mask_mean": Query(_mean, f"""WITH {_EDGES}, {_cells_sql(0.5, 0)}, q AS (SELECT (p_partkey % 23) / 2.0::DOUBLE AS lon, (p_partkey % 21) / 2.0::DOUBLE AS lat, p_size AS time, p_retailprice AS value FROM part)
-        SELECT polygon, time::BIGINT AS time, round(avg(value), 4) AS value, count(*) AS n_cells FROM q JOIN (SELECT DISTINCT polygon, floor(lon / 0.5) AS i, floor(lat / 0.5) AS j FROM c) k ON floor(q.lon / 0.5) = i AND floor(q.lat / 0.5) = j GROUP BY ALL"""),
+        SELECT polygon, time::BIGINT AS time, round(avg(value), 8) AS value, count(*) AS n_cells FROM q JOIN (SELECT DISTINCT polygon, floor(lon / 0.5) AS i, floor(lat / 0.5) AS j FROM c) k ON floor(q.lon / 0.5) = i AND floor(q.lat / 0.5) = j GROUP BY ALL"""),
     "request_box": Query(_box, f"""WITH {_EDGES}, {_cells_sql(0.5, 0)} SELECT round(max(lat) + 0.1::DOUBLE, 4) AS north, round(min(lon) - 0.1::DOUBLE, 4) AS west, round(min(lat) - 0.1::DOUBLE, 4) AS south, round(max(lon) + 0.1::DOUBLE, 4) AS east
         FROM c WHERE polygon <> 'notch'"""),
 }
