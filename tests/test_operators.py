@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import embedding, evaluate, features, geo, graph, kernels, models, panel, quality, report, selection, series, stats
+from tidemark.operators import embedding, evaluate, features, geo, graph, kernels, models, panel, quality, ranks, report, selection, series, stats
 from tidemark.plans import runs
 from tidemark.sources import readers
 
@@ -124,12 +124,61 @@ def test_edge_classes(spark):
 def test_fdr_is_monotone_and_capped(spark):
     p = [0.01, 0.04, 0.03, 0.005, 0.9, 0.9, 1.0]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(p)], "i int, p double")
-    got = {r.i: r.p_fdr for r in stats.benjamini_hochberg(df, "p", ["i"]).collect()}
+    got = {r.i: r.p_fdr for r in stats.benjamini_hochberg(df, "p").collect()}
     order = sorted(range(7), key=lambda i: p[i])
     raw = [p[i] * 7 / (k + 1) for k, i in enumerate(order)]
     assert [got[i] for i in order] == pytest.approx([min(1.0, *raw[k:], 1.0) for k in range(7)])
 
 
+def test_ranks_over_many_ranges(spark):
+    """Ties, families and nulls, dealt over more ranges than one; held against a plain loop."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, 0.5, 0.5, rng.random()])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, k string, p double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = ranks.ranged(df.filter("p is not null").select(F.lit("").alias("_family"), "p").distinct(), "p")
+        assert spread.select("_range").distinct().count() > 1
+        low = {r.i: r.p_fdr for r in stats.benjamini_hochberg(df, "p", ["k"]).collect()}
+        rank = {r.i: r["rank"] for r in ranks.average_rank(df, "p", ["k"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(low) == len(rank) == 3000
+    for k in ("a", "b", None):
+        members = sorted((p, i) for i, f, p in rows if f == k and p is not None)
+        values, best = [p for p, _ in members], 1.0
+        for place in range(len(members), 0, -1):
+            p, i = members[place - 1]
+            best = min(best, p * len(members) / place)
+            assert low[i] == pytest.approx(best)
+            below, same = sum(v < p for v in values), values.count(p)
+            assert rank[i] == below + (same + 1) / 2
+    assert all(low[i] is None and rank[i] is None for i, _, p in rows if p is None)
+
+
+def test_graph_loops_against_plain_search(spark):
+    rng = random.Random(5)
+    edges = [(k, rng.randrange(60), rng.randrange(60)) for k in "xy" for _ in range(40)] + [("x", i, i + 1) for i in range(100, 130)]
+    df = spark.createDataFrame(edges, "entity string, src int, dst int")
+    got = {(r.entity, r.node): r.component for r in graph.components(df).collect()}
+    label = {(k, n): n for k, a, b in edges for n in (a, b)}
+    for _ in range(200):
+        for k, a, b in edges:
+            label[k, a] = label[k, b] = min(label[k, a], label[k, b])
+    assert got == label
+    above = {(r.entity, r.node) for r in graph.ancestors(df, spark.createDataFrame([("x", 130), ("y", 7)], "entity string, target int")).collect()}
+    want = set()
+    for k, t in (("x", 130), ("y", 7)):
+        todo, seen = [t], {t}
+        while todo:
+            n = todo.pop()
+            fresh = {a for e, a, b in edges if e == k and b == n} - seen
+            seen |= fresh
+            todo += fresh
+        want |= {(k, n) for n in seen - {t}}
+    assert above == want
+
+
 def logistic(n=300):
     x, y = np.empty(n), np.empty(n)
     x[0], y[0] = 0.4, 0.2

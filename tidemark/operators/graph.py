@@ -26,14 +26,38 @@ def reachable(edges: DataFrame, key: str = "entity", src: str = "src", dst: str
 
 
 def ancestors(edges: DataFrame, target, key: str = "entity") -> DataFrame:
-    """Every node with a path to the target, the target itself left out."""
-    return reachable(edges, key).filter((F.col("dst") == target) & (F.col("src") != target)).select(key, F.col("src").alias("node"))
+    """``(key, target, node)`` of every node with a path to the target, the target itself left out.
+
+    ``target`` is a node, or a table ``(key, target)``.  Edges are walked
+    backwards, one join a step: the work follows the nodes found, not all pairs.
+    """
+    links = cut(edges.select(key, "src", "dst").distinct())
+    goals = target if isinstance(target, DataFrame) else links.select(key).distinct().withColumn("target", F.lit(target))
+    found = front = cut(goals.select(key, "target", F.col("target").alias("node")).distinct())
+    while True:
+        above = links.join(front.withColumnRenamed("node", "dst"), [key, "dst"]).select(key, "target", F.col("src").alias("node")).distinct()
+        front = cut(above.join(found, [key, "target", "node"], "left_anti"))
+        if front.isEmpty():
+            return found.filter("node <> target")
+        found = cut(found.unionByName(front))
 
 
 def components(edges: DataFrame, key: str = "entity") -> DataFrame:
-    """Smallest connected node of every node of an undirected edge table."""
-    both = edges.select(key, "src", "dst").unionByName(edges.select(key, F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return reachable(both, key).groupBy(key, F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
+    """Smallest connected node of every node of an undirected edge table.
+
+    Every round a node takes the smallest label of its neighbours, then that
+    label's own label; a round reads each edge once and keeps one row a node.
+    """
+    both = cut(edges.select(key, "src", "dst").unionByName(edges.select(key, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    label = cut(both.groupBy(key, F.col("src").alias("node")).agg(F.min("dst").alias("_m")).select(key, "node", F.least("node", "_m").alias("component")))
+    while True:
+        near = both.join(label.withColumnRenamed("node", "dst"), [key, "dst"]).groupBy(key, F.col("src").alias("node")).agg(F.min("component").alias("_m"))
+        step = label.join(near, [key, "node"]).select(key, "node", "component", F.least("component", "_m").alias("_to"))
+        jump = step.select(key, F.col("node").alias("_to"), F.col("_to").alias("_top"))
+        moved = cut(step.join(jump, [key, "_to"]).select(key, "node", F.col("_top").alias("component"), (F.col("_top") < F.col("component")).alias("_moved")))
+        label = moved.select(key, "node", "component")
+        if moved.filter("_moved").isEmpty():
+            return label
 
 
 def upstream(pointers: DataFrame, outlet, node: str = "node", down: str = "down") -> DataFrame:

@@ -9,27 +9,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalar import lag_class, normal_cdf
+from tidemark.operators.ranks import family_key, ranged, running, tie_ranks
+from tidemark.plans.lineage import cut
 
 
-def benjamini_hochberg(df: DataFrame, p: str, tie: Sequence[str], family: Sequence[str] = (), out: str = "p_fdr") -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str, family: Sequence[str] = (), out: str = "p_fdr") -> DataFrame:
     """Step-up adjusted p within a family; null p-values are no members and stay null.
 
-    A family is a set of tests, not of rows: its ranking is one sort.
+    Equal p-values share the largest of their ranks and so one adjusted value:
+    distinct values are ranked, and rows take their value's figure.  The rows are
+    stored first: p-values computed twice may differ in their last bit, and then
+    would not meet their figure.
     """
-    by = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(1))
-    rank = F.row_number().over(by.orderBy(p, *tie))
-    members = df.filter(F.col(p).isNotNull()).withColumns({"_rank": rank, "_k": F.count("*").over(by)})
+    keyed = cut(df.withColumn("_family", family_key(family)))
+    counts = keyed.filter(F.col(p).isNotNull()).groupBy("_family", p).agg(F.count("*").alias("_n"))
+    spread = ranged(counts, p)
+    ranked = running(spread, p, F.col("_n"), "_rank")
+    ranked = ranked.join(spread.groupBy("_family").agg(F.sum("_n").alias("_k")), "_family")
     raw = F.col(p) * F.col("_k") / F.col("_rank")
-    down = by.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    members = members.withColumn(out, F.least(F.lit(1.0), F.min(raw).over(down))).drop("_rank", "_k")
-    return members.unionByName(df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    adjusted = running(cut(ranked), p, raw, "_low", lowest=True).select("_family", p, F.least(F.lit(1.0), "_low").alias(out))
+    return keyed.join(adjusted, ["_family", p], "left").select(*df.columns, out)
 
 
 def classify_edges(edges: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Adjusted p over the OK edges, significance with convergence, lag class and causal evidence."""
     valid = (F.col("status") == "OK") & F.col("p_value").isNotNull()
     kept = edges.withColumn("_p", F.when(valid, F.col("p_value")))
-    tested = benjamini_hochberg(kept, "_p", ["cause", "effect"]).drop("_p")
+    tested = benjamini_hochberg(kept, "_p").drop("_p")
     significant = F.coalesce((F.col("p_fdr") < alpha) & F.coalesce("converges", F.lit(False)) & F.col("obs_lag").isNotNull(), F.lit(False))
     tested = tested.withColumn("significant", significant)
     return tested.withColumns({"lag_resolution": lag_class(F.col("significant"), F.col("obs_lag")), "causal_evidence": F.coalesce(F.col("significant") & (F.col("obs_lag") >= 0), F.lit(False))})
@@ -63,11 +69,9 @@ def kendall_tau(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame
 
 def mann_whitney(df: DataFrame, value: str, group: str, keys: Sequence[str] = ()) -> DataFrame:
     """U of the rows where ``group`` is true, AUC, and the two-sided normal p with ties and continuity."""
-    by = list(keys) or [F.lit(1)]
-    rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("t"), F.count_if(F.col(group)).alias("a"))
-    upto = F.sum("t").over(Window.partitionBy(*by).orderBy(value))
-    ranked = counts.withColumn("rank", upto - (F.col("t") - 1) / 2)
+    rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).withColumn("_family", family_key(keys))
+    counts = rows.groupBy("_family", *keys, value).agg(F.count("*").alias("t"), F.count_if(F.col(group)).alias("a"))
+    ranked = tie_ranks(counts, value, "t")
     s = ranked.groupBy(*keys).agg(
         F.sum("a").alias("n1"), F.sum(F.col("t") - F.col("a")).alias("n2"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties")
     ).filter("n1 > 0 and n2 > 0")

@@ -62,7 +62,7 @@ def _dm(spark, sf):
 
 
 def family(spark, sf):
-    t = S.benjamini_hochberg(dm(spark, sf), "p_value", ["entity", "h"])
+    t = S.benjamini_hochberg(dm(spark, sf), "p_value")
     winner = F.when(F.coalesce(F.col("p_fdr") < 0.5, F.lit(False)), F.when(F.col("dm_stat") < 0, "persistence").otherwise("seasonal")).otherwise("")
     return t.withColumns({"sig_fdr": F.coalesce(F.col("p_fdr") < 0.5, F.lit(False)), "winner": winner})
 

@@ -27,8 +27,7 @@ def _sink(spark, sf):
 
 def _ancestors(spark, sf):
     links, target = _sink(spark, sf)
-    paths = G.reachable(links).join(target, "entity")
-    return paths.filter("dst = target and src <> target").select(F.col("entity").cast("long").alias("entity"), F.col("src").cast("long").alias("node"))
+    return G.ancestors(links, target).select(F.col("entity").cast("long").alias("entity"), F.col("node").cast("long").alias("node"))
 
 
 def _components(spark, sf):
@@ -74,7 +73,7 @@ def _reselected(spark, sf):
 def ancestor_pairs(spark, sf):
     """(entity, src, target, direct_lag) of every ancestor of an entity's sink."""
     links, target = _sink(spark, sf)
-    every = G.reachable(links).join(target, "entity").filter("dst = target and src <> target").select("entity", "src", "target")
+    every = G.ancestors(links, target).select("entity", F.col("node").alias("src"), "target")
     direct = links.select("entity", "src", F.col("dst").alias("target"), F.col("lag").alias("direct_lag"))
     return every.join(direct, ["entity", "src", "target"], "left")
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.config import DRIVER
 from tidemark.functions.scalar import as_bool, fingerprint, seed_of, to_number, to_unit
 from tidemark.operators import panel as P
 from tidemark.operators import quality as Q
 from tidemark.operators import series as S
+from tidemark.operators.ranks import average_rank
 from tidemark.plans.lineage import cut
 from tidemark.queries.base import Query, sql
 from tidemark.sources import tables as T
@@ -126,8 +126,7 @@ def _dataset_stack(spark, sf):
 def _supplier_rank(spark, sf):
     """Average-tie ranks of suppliers by their number of months."""
     n = T.supplier_obs(spark, sf).groupBy("entity").agg(F.count("*").alias("months"))
-    w = Window.orderBy("months")
-    return n.groupBy("months").agg(F.count("*").alias("k")).withColumn("rank", F.coalesce(F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("k") + 1) / 2).join(n, "months").select("entity", "months", F.col("rank").cast("double").alias("rank"))
+    return average_rank(n, "months").select("entity", "months", F.col("rank").cast("double").alias("rank"))
 
 
 _D = ", ".join(f"round({v}, {6 if v in ('Temp', 'R') else 2}) AS {v.lower()}" for v in VARIABLES)
