@@ -14,7 +14,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ("month_offset", "gap_fill_linear", "bh_fdr", "components", "point_in_polygon", "model_config_pivot", "foresight_flags", "hash_fingerprint", "resolve_polygon", "grid_cells", "edge_entity_counts", "acquisition_status")
+SAMPLE = ("month_offset", "gap_fill_linear", "bh_fdr", "components", "point_in_polygon", "model_config_pivot", "foresight_flags", "hash_fingerprint", "resolve_polygon", "grid_cells", "edge_entity_counts", "acquisition_status", "missing_edges", "average_tie_rank", "ancestors", "panel_extent")
 
 
 def test_imports_without_corpus_operators(tmp_path):

@@ -122,3 +122,10 @@ def request_box(*cells: DataFrame, padding: float = 0.1) -> DataFrame:
     for c in cells[1:]:
         every = every.unionByName(c.select("lon", "lat"))
     return every.agg((F.max("lat") + padding).alias("north"), (F.min("lon") - padding).alias("west"), (F.min("lat") - padding).alias("south"), (F.max("lon") + padding).alias("east"))
+
+
+def extent(polygons: DataFrame, stations: DataFrame, padding: float = 0.1) -> DataFrame:
+    """West, south, east and north of all polygons and stations, padded: the frame of a map panel."""
+    box = bounds(polygons).select("lon_min", "lat_min", "lon_max", "lat_max")
+    every = box.unionByName(stations.select(F.col("lon").alias("lon_min"), F.col("lat").alias("lat_min"), F.col("lon").alias("lon_max"), F.col("lat").alias("lat_max")))
+    return every.agg((F.min("lon_min") - padding).alias("west"), (F.min("lat_min") - padding).alias("south"), (F.max("lon_max") + padding).alias("east"), (F.max("lat_max") + padding).alias("north"))

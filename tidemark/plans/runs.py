@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +56,35 @@ def coverage(found: DataFrame, expected: DataFrame, keys: Sequence[str]) -> Data
         have.groupBy(*keys).count().filter("count > 1").drop("count").withColumn("problem", F.lit("repeated")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def require_inputs(spark: SparkSession, inputs: Mapping[str, tuple[str, str]]) -> None:
+    """Fail before any work, naming every input ``name: (format, path)`` that isn't there."""
+    missing = []
+    for name, (kind, path) in inputs.items():
+        try:
+            spark.read.format(kind).load(path)
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            missing.append(f"{name} ({path})")
+    if missing:
+        raise FileNotFoundError("missing inputs: " + ", ".join(missing))
+
+
+def run_steps(spark: SparkSession, steps: Mapping[str, Callable[[], object]]) -> DataFrame:
+    """Steps in their order as ``(step, status, seconds, error)``; those after a failed one are skipped, not run."""
+    rows, failed = [], False
+    for name, step in steps.items():
+        if failed:
+            rows.append((name, "skipped", None, None))
+            continue
+        start = time.monotonic()
+        try:
+            step()
+        except Exception as error:  # a failed step is a row of the status table
+            failed = True
+            rows.append((name, "failed", time.monotonic() - start, str(error).splitlines()[0] if str(error) else type(error).__name__))
+        else:
+            rows.append((name, "OK", time.monotonic() - start, None))
+    return spark.createDataFrame(rows, "step string, status string, seconds double, error string")

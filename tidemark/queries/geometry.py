@@ -54,6 +54,11 @@ def _box(spark, sf):
     return b.select(*[F.round(c, 4).alias(c) for c in b.columns])
 
 
+def _extent(spark, sf):
+    e = G.extent(polygons(spark), points(spark, sf), padding=0.5)
+    return e.select(*[F.round(c, 4).alias(c) for c in e.columns])
+
+
 _EDGES = "e AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{n}', {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for n, r in RINGS.items() for a, b in zip(r, r[1:], strict=False)
 ) + ") v(polygon, x1, y1, x2, y2)), b AS (SELECT polygon, min(x1) AS x0, max(x1) AS x9, min(y1) AS y0, max(y1) AS y9 FROM e GROUP BY ALL)"
@@ -88,4 +93,6 @@ QUERIES = {
         SELECT polygon, time::BIGINT AS time, round(avg(value), 8) AS value, count(*) AS n_cells FROM q JOIN (SELECT DISTINCT polygon, floor(lon / 0.5) AS i, floor(lat / 0.5) AS j FROM c) k ON floor(q.lon / 0.5) = i AND floor(q.lat / 0.5) = j GROUP BY ALL"""),
     "request_box": Query(_box, f"""WITH {_EDGES}, {_cells_sql(0.5, 0)} SELECT round(max(lat) + 0.1::DOUBLE, 4) AS north, round(min(lon) - 0.1::DOUBLE, 4) AS west, round(min(lat) - 0.1::DOUBLE, 4) AS south, round(max(lon) + 0.1::DOUBLE, 4) AS east
         FROM c WHERE polygon <> 'notch'"""),
+    "panel_extent": Query(_extent, f"""WITH {_EDGES}, {_PTS}, u AS (SELECT x0, y0, x9, y9 FROM b UNION ALL SELECT lon, lat, lon, lat FROM p)
+        SELECT round(min(x0) - 0.5::DOUBLE, 4) AS west, round(min(y0) - 0.5::DOUBLE, 4) AS south, round(max(x9) + 0.5::DOUBLE, 4) AS east, round(max(y9) + 0.5::DOUBLE, 4) AS north FROM u"""),
 }

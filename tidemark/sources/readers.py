@@ -52,3 +52,11 @@ def read_embedding_params(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.option("wholetext", True).text(path)
     outer = text.select(F.explode(F.from_json("value", f"map<string,map<string,{schema}>>")).alias("entity", "vars"))
     return outer.select("entity", F.explode("vars").alias("variable", "p")).select("entity", "variable", "p.*")
+
+
+def write_embedding_params(params: DataFrame, path: str) -> None:
+    """Rows as the one line that ``read_embedding_params`` reads; a table of a row an entity and variable, which is small."""
+    cell = F.struct("E", "tau", "n_obs", "status")
+    inner = params.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("variable", cell))).alias("vars"))
+    whole = inner.agg(F.map_from_entries(F.collect_list(F.struct("entity", "vars"))).alias("m"))
+    whole.select(F.to_json("m")).write.mode("overwrite").text(path)
