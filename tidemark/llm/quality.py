@@ -335,8 +335,11 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, max_labels: int = MAX_
     safety = expectation_maximisation(pattern[:, len(QUALITY) :], count, annotated[1])
     rate = train_rows / max(1.0, float(count.sum()))
     sample = plain.filter(spread < rate).mapInArrow(_feature_rows(lexicon, quality, safety), "index array<int>, n_words int, soft double").toArrow()
-    index = [np.asarray(x, np.int64) for x in sample["index"].to_numpy()] if sample.num_rows else []
+    # Rows as views of the sample's own buffers; the driver gives the sample's memory back before it goes on.
+    index = [x for part in sample["index"].chunks for x in np.split(part.flatten().to_numpy(), np.diff(part.offsets.to_numpy()).cumsum()[:-1]) if len(part)]
     weight = fit_linear(index, sample["n_words"].to_numpy(), sample["soft"].to_numpy())
+    del index, sample
+    hashing.trim()
     return Classifier(lexicon, quality, safety, weight)
 
 
