@@ -110,8 +110,11 @@ def shingles(word: np.ndarray, width: int = 5) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 * STEP) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the texts of a cut have about ``limit`` bytes; a longer text comes alone."""
+def slices(batch: pa.RecordBatch, text: str, limit: int = STEP) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that the texts of a cut have about ``limit`` bytes; a longer text comes alone.
+
+    A cut's arrays take some 20 times its bytes; what they freed goes back to the system after the last.
+    """
     column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     row = 0
@@ -119,6 +122,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 * STEP) -> Iterator[
         stop = max(row + 1, int(np.searchsorted(at, at[row] + limit, "right")) - 1)
         yield batch.slice(row, stop - row)
         row = stop
+    trim()
 
 
 def trim() -> None:

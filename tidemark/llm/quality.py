@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import hashing
-from tidemark.llm.store import Scratch
+from tidemark.llm.store import Scratch, small_batches
 
 MAX_LABELS = 100_000
 TRAIN_ROWS = 12_000
@@ -312,6 +312,11 @@ def learn_lexicon(texts: DataFrame, share: float = 0.02, ratio: float = 20.0, le
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, max_labels: int = MAX_LABELS, train_rows: int = TRAIN_ROWS) -> Classifier:
     """Fit the label models and the scorer to ``docs(doc_id, text)`` and ``labels(doc_id, quality, toxic)``."""
+    with small_batches(docs.sparkSession):
+        return _fit(docs, labels, max_labels, train_rows)
+
+
+def _fit(docs: DataFrame, labels: DataFrame | None, max_labels: int, train_rows: int) -> Classifier:
     scratch = Scratch(docs.sparkSession, "quality")
     plain = docs.select("doc_id", "text")
     lexicon = _word_array(INSULTS)
