@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 import tracemalloc
 
 import pyarrow as pa
+import pytest
 
-from tidemark.llm import ngram_join, quality
+from tidemark.llm import bloom_lm, ngram_join, quality
 from tidemark.llm.store import BATCH_BYTES
 
 
@@ -35,3 +37,23 @@ def test_quality_is_fitted_on_small_batches(spark, monkeypatch):
         monkeypatch.setattr(quality, name, lambda *a, f=getattr(quality, name): seen.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) or f(*a))
     assert quality.classify(docs, labels).count() == 40
     assert seen == [str(BATCH_BYTES)] * 2 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_bloom_lm_driver_sends_the_filter_in_pieces_and_frees_them(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, _prose(rng, 200)) for i in range(200)], "doc_id long, text string")
+    whole = {r.doc_id: r for r in bloom_lm.score_texts(docs).collect()}
+    context, sent = spark.sparkContext, []
+    send = type(context).broadcast
+
+    def broadcast(self, value):
+        sent.append((send(self, value), len(pickle.dumps(value)), type(value)))
+        return sent[-1][0]
+
+    monkeypatch.setattr(bloom_lm, "SENT_BYTES", 20_000, raising=False)
+    monkeypatch.setattr(type(context), "broadcast", broadcast)
+    assert {r.doc_id: r for r in bloom_lm.score_texts(docs).collect()} == whole
+    assert max(n for _, n, kind in sent if kind is not bloom_lm.Words) < 40_000 < sum(n for _, n, kind in sent if kind is not bloom_lm.Words)
+    for piece, _, _ in sent:
+        with pytest.raises(Exception, match="destroyed|No such file"):
+            piece._jbroadcast.value()

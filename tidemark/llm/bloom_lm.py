@@ -29,11 +29,12 @@ of these is rare, so no key is hot.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,7 @@ FLUSH = 1_500_000
 MERGE = 2_000_000
 PIECE = 200_000
 SLICE = 1 << 20
+SENT_BYTES = 16 << 20
 
 _END = np.uint64(0x2545F4914F6CDD1D)
 _START = np.uint64(0x9FB21C651E98DF25)
@@ -185,7 +187,7 @@ def _segment(keys: np.ndarray, high: np.ndarray, bits_per_key: float, most_words
     return table
 
 
-_REDUCED = "bucket int, segment binary, words binary, counts binary, n_words long, n_tokens long, n_texts long, once long, twice long, levels array<long>"
+_REDUCED = "bucket int, segment binary, words binary, counts binary, size long, n_words long, n_tokens long, n_texts long, once long, twice long, levels array<long>"
 
 
 def _reduce_rows(bits_per_key: float, most_words: int):
@@ -196,12 +198,12 @@ def _reduce_rows(bits_per_key: float, most_words: int):
         level = level_of(n)
         table = _segment(np.concatenate([word, pair]), np.concatenate([level, level_of(m)]), bits_per_key, most_words)
         row = {
-            "bucket": bucket, "segment": table.tobytes(), "words": word.tobytes(), "counts": n.tobytes(), "n_words": len(word), "n_tokens": int(n.sum()), "n_texts": int(n[word == _END].sum()),
+            "bucket": bucket, "segment": table.tobytes(), "words": word.tobytes(), "counts": n.tobytes(), "size": len(table), "n_words": len(word), "n_tokens": int(n.sum()), "n_texts": int(n[word == _END].sum()),
             "once": int((m == 1).sum()), "twice": int((m == 2).sum()), "levels": np.bincount(level, minlength=LEVELS).tolist(),
         }
         return pa.RecordBatch.from_pylist([row], schema=schema)
 
-    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("segment", "words", "counts")), *((c, pa.int64()) for c in ("n_words", "n_tokens", "n_texts", "once", "twice")), ("levels", pa.list_(pa.int64()))])
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("segment", "words", "counts")), *((c, pa.int64()) for c in ("size", "n_words", "n_tokens", "n_texts", "once", "twice")), ("levels", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, kept, held = None, {1: ([], []), 2: ([], [])}, 0
@@ -227,18 +229,20 @@ def _reduce_rows(bits_per_key: float, most_words: int):
 
 
 class Filter:
-    """The segments of all buckets, ready for probing."""
+    """The segments of all buckets, ready for probing; they have ``n_words`` 64-bit words if these are known before."""
 
-    def __init__(self, segments: list[tuple[int, bytes | pa.Buffer]], bucket_bits: int):
+    def __init__(self, segments: Iterable[tuple[int, bytes]], bucket_bits: int, n_words: int | None = None):
+        if n_words is None:
+            segments = list(segments)
+            n_words = sum(len(data) for _, data in segments) // 8
         self.shift = np.uint64(64 - bucket_bits)
         self.size, self.start = np.ones(1 << bucket_bits, np.uint64), np.zeros(1 << bucket_bits, np.uint64)
-        parts, at = [np.zeros(1, np.uint64)], 1  # an absent bucket reads the empty word
-        for bucket, data in sorted(segments, key=lambda x: x[0]):
+        self.data, at = np.zeros(n_words + 1, np.uint64), 1  # an absent bucket reads the empty word
+        for bucket, data in segments:
             part = np.frombuffer(data, np.uint64)
             self.size[bucket], self.start[bucket] = len(part), at
-            parts.append(part)
+            self.data[at : at + len(part)] = part
             at += len(part)
-        self.data = np.concatenate(parts)
 
     def level(self, key: np.ndarray) -> np.ndarray:
         """The highest level reached without a gap, by repeated probes; 0 if the first is missing."""
@@ -255,6 +259,35 @@ class Filter:
         return found
 
 
+@dataclass
+class Sent:
+    """A filter on its way to the workers: broadcasts of about ``SENT_BYTES``, of which the driver holds one at a time."""
+
+    pieces: list[Broadcast]
+    bucket_bits: int
+    n_words: int
+
+    @classmethod
+    def of(cls, reduced: DataFrame, bucket_bits: int, n_words: int) -> Sent:
+        """From ``reduced(bucket, segment)``, whose buckets have about equally many of the words."""
+        pieces, step = [], max(1, (SENT_BYTES << bucket_bits) // max(1, 8 * n_words))
+        for low in range(0, 1 << bucket_bits, step):
+            found = reduced.filter(F.col("bucket").between(low, low + step - 1)).select("bucket", "segment").toArrow()
+            pieces.append(reduced.sparkSession.sparkContext.broadcast(list(zip(found["bucket"].to_pylist(), found["segment"].to_pylist(), strict=True))))
+            del found
+            hashing.trim()
+        return cls(pieces, bucket_bits, n_words)
+
+    def segments(self) -> Iterator[tuple[int, bytes]]:
+        for piece in self.pieces:
+            yield from piece.value
+            if getattr(piece, "_path", None):  # it can be read again, and a worker keeps the filter itself
+                vars(piece).pop("_value", None)
+
+    def filter(self) -> Filter:
+        return Filter(self.segments(), self.bucket_bits, self.n_words)
+
+
 class Words:
     """Exact counts of words: sorted hashes with an index by their leading bits."""
 
@@ -291,10 +324,10 @@ class Reader:
     levels: np.ndarray
 
     @classmethod
-    def of(cls, token: str, filter_, words) -> Reader:
+    def of(cls, token: str, sent: Sent, words: Broadcast) -> Reader:
         if token not in _READERS:
             _READERS.clear()
-            f, w = filter_.value, words.value
+            f, w = sent.filter(), words.value
             levels = np.concatenate([np.empty(0, np.uint8), *(f.level(w.key[i : i + PIECE]).astype(np.uint8) for i in range(0, len(w.key), PIECE))])
             hashing.trim()
             _READERS[token] = cls(f, w, levels)
@@ -319,11 +352,11 @@ def _context_levels(level: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _follower_rows(token_: str, filter_, words):
+def _follower_rows(token_: str, sent: Sent, words: Broadcast):
     """Tokens, and distinct pairs as far as their counts say, by the level of the context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader.of(token_, filter_, words)
+        reader = Reader.of(token_, sent, words)
         table = np.zeros((2, LEVELS))
         for whole in batches:
             for batch in hashing.slices(whole, "text", SLICE):
@@ -364,11 +397,11 @@ class Model:
 _SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, rare_n array<int>"
 
 
-def _score_rows(token_: str, filter_, words, model: Model, whole_table: bool):
+def _score_rows(token_: str, sent: Sent, words: Broadcast, model: Model, whole_table: bool):
     names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "rare_n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader.of(token_, filter_, words)
+        reader = Reader.of(token_, sent, words)
         counts = reader.words.count
         total = np.log10(model.total)
         for whole in batches:
@@ -430,7 +463,7 @@ def score_texts(docs: DataFrame, table_words: int = TABLE_WORDS, filter_bytes: i
     counted = training.mapInArrow(_count_rows(bucket_bits), _COUNTS).repartition("bucket").sortWithinPartitions("bucket")
     reduced = scratch.table(counted.mapInArrow(_reduce_rows(bits_per_key, max(1, filter_bytes // 8 >> bucket_bits)), _REDUCED), "reduced")
 
-    sums = reduced.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_tokens", "n_texts", "once", "twice")]).first()
+    sums = reduced.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "n_words", "n_tokens", "n_texts", "once", "twice")]).first()
     by_level = {r["level"]: r["n"] for r in reduced.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()}  # LEVELS rows
     least, held = LEVELS, 0
     while least > 0 and held + by_level.get(least - 1, 0) <= table_words:
@@ -442,15 +475,11 @@ def score_texts(docs: DataFrame, table_words: int = TABLE_WORDS, filter_bytes: i
     n = n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
     words = spark.sparkContext.broadcast(Words(word, n))
     del word, n
-    found = reduced.select("bucket", "segment").toArrow()  # the filter itself, filter_bytes at most
-    pa.default_memory_pool().release_unused()
-    segments = (x.as_buffer() for chunk in found["segment"].chunks for x in chunk)  # without a copy
-    filter_ = spark.sparkContext.broadcast(Filter(list(zip(found["bucket"].to_pylist(), segments, strict=True)), bucket_bits))
-    del found, segments
-    pa.default_memory_pool().release_unused()
+    hashing.trim()
+    sent = Sent.of(reduced, bucket_bits, int(sums["size"]))  # filter_bytes at most
     token = uuid.uuid4().hex
 
-    followers = training.mapInArrow(_follower_rows(token, filter_, words), "level long, n double, distinct double").groupBy("level").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct"))
+    followers = training.mapInArrow(_follower_rows(token, sent, words), "level long, n double, distinct double").groupBy("level").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct"))
     with small_batches(spark):
         followers = followers.collect()  # LEVELS rows
     delta = sums["once"] / (sums["once"] + 2 * sums["twice"]) if sums["once"] else 0.5
@@ -458,7 +487,7 @@ def score_texts(docs: DataFrame, table_words: int = TABLE_WORDS, filter_bytes: i
     for r in followers:
         mass[r["level"]] = delta * r["distinct"] / r["n"] if r["n"] else 1.0
     model = Model(int(sums["n_tokens"]), int(sums["n_words"]), int(sums["n_texts"]), delta, mass)
-    scored = rows.select("doc_id", "held_out", "text").mapInArrow(_score_rows(token, filter_, words, model, least == 0), _SCORED)
+    scored = rows.select("doc_id", "held_out", "text").mapInArrow(_score_rows(token, sent, words, model, least == 0), _SCORED)
     if least > 0:
         scored = scratch.table(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
         tokens = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("k"))
@@ -470,6 +499,6 @@ def score_texts(docs: DataFrame, table_words: int = TABLE_WORDS, filter_bytes: i
         scored = scored.join(added, "row", "left").withColumns({"known": F.col("known") + F.coalesce("more_known", F.lit(0)), "base": F.col("base") + F.coalesce("more_base", F.lit(0.0))})
     scored = scored.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
     scored = scratch.table(scored, "result")
-    for shared in (words, filter_):  # the stored scores need them no more
-        shared.unpersist()
+    for shared in (words, *sent.pieces):  # the stored scores need them no more, on the driver neither
+        shared.destroy()
     return scored
