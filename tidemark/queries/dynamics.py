@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.config import DRIVER
 from tidemark.operators import embedding as E
+from tidemark.operators.search import nearest_vectors
 from tidemark.queries.base import Query, sql
 from tidemark.queries.panels import stored_anomaly as anomaly
 from tidemark.sources import tables as T
@@ -57,12 +57,8 @@ def _convergence(spark, sf):
 
 def _knn_vectors(spark, sf):
     """Three nearest vectors of every vector whose id is divisible by 20, over all vectors, by Euclidean distance."""
-    v = T.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("emb"))
-    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("emb").alias("q"))
-    pairs = v.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, F.col("vec_id") != F.col("query"))
-    d = pairs.select("query", "vec_id", E.distance(F.col("q"), F.col("emb")).alias("d"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("d", "vec_id"))
-    return d.withColumn("rank", rank).filter("rank <= 3").select("query", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("d", 6).alias("d"))
+    near = nearest_vectors(T.table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, 3)
+    return near.select("query", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("d", 6).alias("d"))
 
 
 
