@@ -105,8 +105,8 @@ def _alignments(hits: DataFrame, width: int) -> DataFrame:
     return one.unionAll(several.select(*pair, F.lit(True), F.col("chain"), "offset", "item_pos", "here"))
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, cover: float, scratch: Scratch) -> DataFrame:
-    """``(doc, item_id, windows, item_windows, covered, offset)``; doc is struct(doc_id, hash of the text)."""
+def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, cover: float, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``(doc, item_id, windows, item_windows, covered, offset)``, and a bound of its rows; doc is struct(doc_id, hash of the text)."""
     item_words, item_plain = canonical_words(F.col("text"))
     items = benchmark.select("item_id", item_words.alias("words"), item_plain.alias("plain"))
     items = scratch.table(items, "items")
@@ -127,11 +127,12 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, cover: float, scra
     # An alignment of several offsets can only add windows: pairs below the threshold in all their hits are out.
     enough = F.col("windows") >= cover * F.col("item_windows")
     hits = scratch.table(hits, "hits")
+    n_hits = hits.count()
     pairs = hits.groupBy("doc", "item_id").agg(F.countDistinct("item_pos").alias("windows")).join(F.broadcast(sizes) if small else sizes, "item_id")
     hits = hits.join(pairs.filter(enough).select("doc", "item_id"), ["doc", "item_id"], "left_semi")
     alignment = ["doc", "item_id", "several", "at"]
     placed = _alignments(hits, width).withColumn("windows", F.count("*").over(Window.partitionBy(*alignment)))
-    placed = scratch.table(placed.join(F.broadcast(sizes) if small else sizes, "item_id").filter(enough), "placed")
+    placed = scratch.table(placed.join(F.broadcast(sizes) if small else sizes, "item_id").filter(enough), "placed", 2 * n_hits)
     aligned = placed.groupBy(*alignment).agg(F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"), F.max(F.struct("here", -F.col("offset"))).alias("best"))
 
     # Slots: positions inside matched windows where the item has a placeholder, with both plain values.
@@ -141,17 +142,18 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, width: int, cover: float, scra
     inner = scratch.table(inner.select("item_id", "item_pos", "slot", "item_value"), "slots")
     if not inner.isEmpty():
         asked = placed.join(inner, ["item_id", "item_pos"]).select(*alignment, "item_value", (F.col("slot") + F.col("offset")).alias("doc_at")).distinct()
-        asked = scratch.table(asked, "asked")
+        asked = scratch.table(asked, "asked", 2 * width * n_hits)
         ids = asked.select("doc").distinct()
         plain = keyed.join(F.broadcast(ids) if ids.count() <= BROADCAST_DOCS else ids, "doc").dropDuplicates(["doc"]).select("doc", doc_words.alias("doc_words"), doc_plain.alias("doc_plain"))
         values = plain.join(asked, "doc").select(*alignment, "item_value", F.get("doc_words", F.col("doc_at")).alias("doc_type"), F.get("doc_plain", F.col("doc_at")).alias("doc_value"))
-        values = scratch.table(values.filter(F.col("doc_type").isin(*SLOTS)).drop("doc_type").distinct(), "values")
+        values = scratch.table(values.filter(F.col("doc_type").isin(*SLOTS)).drop("doc_type").distinct(), "values", 2 * width * n_hits)
         # One to one: no value of one side stands for two of the other.
         for one, other in (("item_value", "doc_value"), ("doc_value", "item_value")):
             differing = values.groupBy(*alignment, one).agg(F.min(other).alias("lo"), F.max(other).alias("hi")).filter("lo <> hi")
             aligned = aligned.join(differing.select(*alignment).distinct(), alignment, "left_anti")
     best = aligned.groupBy("doc", "item_id").agg(F.max("best").alias("best"), F.max("windows").alias("windows"), F.max("item_windows").alias("item_windows"))
-    return best.select("doc", "item_id", F.col("best.here").alias("windows"), "item_windows", (F.col("windows") / F.col("item_windows")).alias("covered"), (-F.col("best.col2")).alias("offset"))
+    best = best.select("doc", "item_id", F.col("best.here").alias("windows"), "item_windows", (F.col("windows") / F.col("item_windows")).alias("covered"), (-F.col("best.col2")).alias("offset"))
+    return best, n_hits
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:
@@ -165,10 +167,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: floa
     windows in the best alignment; ``windows`` are those at its fullest
     ``offset``, the smallest of equals.  Other columns are ignored.
     """
-    found = _leaks(docs, benchmark, width, cover, Scratch(docs.sparkSession, "decontaminate"))
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    found, n_hits = _leaks(docs, benchmark, width, cover, scratch)
     measures = ["covered", "windows", "item_windows", (-F.col("offset")).alias("offset")]
     best = found.groupBy(F.col("doc.doc_id").alias("doc_id"), "item_id").agg(F.max(F.struct(*measures)).alias("m"))
-    return best.select("doc_id", "item_id", "m.windows", "m.item_windows", "m.covered", (-F.col("m.offset")).alias("offset"))
+    best = best.select("doc_id", "item_id", "m.windows", "m.item_windows", "m.covered", (-F.col("m.offset")).alias("offset"))
+    return scratch.few(best, n_hits)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: float = COVER) -> DataFrame:
@@ -178,7 +182,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cov
     with a leaking text stays, and so do rows without a text.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    found = scratch.table(_leaks(docs, benchmark, width, cover, scratch).select("doc").distinct(), "leaking")
+    found, n_hits = _leaks(docs, benchmark, width, cover, scratch)
+    found = scratch.table(found.select("doc").distinct(), "leaking", n_hits)
     found = found.select(F.col("doc.doc_id").alias("_id"), F.col("doc.h").alias("_h"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h"))
     return docs.join(F.broadcast(found) if found.count() <= BROADCAST_DOCS else found, same, "left_anti")

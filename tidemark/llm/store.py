@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 BATCH_BYTES = 4 << 20
+ROWS_A_FILE = 50_000
+# Hadoop starts a chmod process for every local file and folder it makes; without checksum files these are fewer.
+_RAW = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -48,19 +51,30 @@ class Scratch:
     """A folder of Parquet tables under the shared folder, one per operator call.
 
     A table written here survives the loss of any executor and starts a new
-    lineage, which is what a checkpoint is for; Parquet keeps it small.
+    lineage, which is what a checkpoint is for; Parquet keeps it small.  Each file
+    costs its executor two processes or more on a local file system, and memory
+    that is read while a JVM starts one counts twice.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        usual = spark._jsc.hadoopConfiguration().get("fs.file.impl") in (None, "org.apache.hadoop.fs.LocalFileSystem")
+        self._options = _RAW if usual else {}
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def few(self, df: DataFrame, rows: int) -> DataFrame:
+        """``df``, known to have at most about ``rows`` rows, in no more partitions than these are worth."""
+        return df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
+
+    def table(self, df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+        """``df`` stored; ``rows`` is a bound of its rows where one is known, and makes for fewer files."""
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name}"
+        if rows is not None:
+            df = self.few(df, rows)
         with small_batches(self.spark):
-            df.write.parquet(path)
+            df.write.options(**self._options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
