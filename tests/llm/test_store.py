@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from tidemark.llm import decontaminate
+from tidemark.llm.graph import connected_components
 from tidemark.llm.store import Scratch
 
 
@@ -46,3 +47,17 @@ def test_files_follow_the_rows(spark, monkeypatch):
     kept = Scratch(spark, "store-test").table(rows, "t", 1000)
     assert kept.count() == 1000 and len(kept.inputFiles()) == 10
     assert len(Scratch(spark, "store-test").table(rows, "t").inputFiles()) == 40
+
+
+def test_components_store_small_tables_in_few_files(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(0, 400) if i % 50 != 49], "a long, b long")
+    before = dict(_many(spark))
+    try:
+        label = {r.node: r.component for r in connected_components(chain, Scratch(spark, "components-test")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert label == {i: i // 50 * 50 for i in range(400)}
+    stored = _files(spark, "components-test")
+    assert {"up", "jump"} <= set(stored)
+    assert all(parts <= spark.sparkContext.defaultParallelism for t, (parts, _) in stored.items() if t in ("up", "jump"))

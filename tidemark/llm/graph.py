@@ -20,12 +20,12 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         "edges",
     )
     rounds: list[DataFrame] = []
-    while not e.isEmpty():
+    while n := e.count():  # nodes are at most twice as many, and no later table is larger
         both = e.select(F.col("u").alias("node"), F.col("v").alias("other")).unionAll(e.select(F.col("v"), F.col("u")))
-        up = scratch.table(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("up")), "up")
+        up = scratch.table(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("up")), "up", 2 * n)
         while True:
             top = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = scratch.table(up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("moved")), "jump")
+            jumped = scratch.table(up.join(top, "up").select("node", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("moved")), "jump", 2 * n)
             up = jumped.select("node", "up")
             if jumped.filter("moved").isEmpty():
                 break
@@ -35,6 +35,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         e = scratch.table(
             e.join(left, "u").join(right, "v").filter("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(),
             "edges",
+            n,
         )
     if not rounds:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
